@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, token_file
+from palimpsest.llm import bpe, simhash, token_file
 from palimpsest.llm.common import table
 
 
@@ -16,5 +16,9 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_file(token_file.write_file(table(spark, sf_dir, "documents"), bpe.read_spec()))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_token_file": op5_token_file}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
 ORACLES: dict[str, str] = {}
