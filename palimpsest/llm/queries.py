@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, simhash, token_file
+from palimpsest.llm import bpe, nearest, simhash, token_file
 from palimpsest.llm.common import table
 
 
@@ -20,5 +21,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    return nearest.search(vectors, vectors.where(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_nearest": op2_nearest, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
 ORACLES: dict[str, str] = {}
