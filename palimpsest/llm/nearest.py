@@ -19,15 +19,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import column, stored
+from palimpsest.llm.common import column, parallel, stored
 
 TABLES, PROBES, ROUNDS, SEED = 16, 5, 3, 1729
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 2048
 SALTS = 32
 
 
@@ -114,23 +113,21 @@ def build_index(vectors: DataFrame, k: int, tables: int = TABLES) -> DataFrame:
     return stored(_filed(distinct_vectors(vectors, k + 1), "ids", "array<bigint>", tables, 1), "cross-polytope")
 
 
-def _best(members: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest members of each query, by exact distance."""
-    x = np.stack([np.frombuffer(b) for b in members["vec"]])
-    ids = [np.asarray(i) for i in members["ids"]]
-    squares, out = (x * x).sum(1), []
-    for start in range(0, len(queries), 256):
-        some = queries.iloc[start : start + 256]
-        q = np.stack([np.frombuffer(b) for b in some["vec"]])
-        rough = (q * q).sum(1)[:, None] + squares - 2 * q @ x.T
-        slack = 1e-9 * ((q * q).sum(1) + squares.max())
-        kth = np.partition(rough, min(k, len(x) - 1), axis=1)[:, min(k, len(x) - 1)]
-        for query, row, near, limit in zip(some["query_id"].to_list(), q, rough, kth + slack, strict=True):
-            at = np.flatnonzero(near <= limit)
-            far = np.sqrt(((x[at] - row) ** 2).sum(1))
-            found = sorted((d, i) for d, a in zip(far.tolist(), at.tolist(), strict=True) for i in ids[a].tolist() if i != query)[:k]
-            out += [(query, i, d) for d, i in found]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+def _best(members: list[tuple], queries: list[tuple], k: int) -> list[tuple[int, int, float]]:
+    """(query, id, distance): the k nearest members of each query, by exact distance. Rows: (ids, vector bytes)."""
+    x = np.frombuffer(b"".join(v for _, v in members)).reshape(len(members), -1)
+    q = np.frombuffer(b"".join(v for _, v in queries)).reshape(len(queries), -1)
+    squares, own = (x * x).sum(1), (q * q).sum(1)
+    rough = own[:, None] + squares - 2 * q @ x.T
+    last = min(k, len(x) - 1)
+    limits = np.partition(rough, last, axis=1)[:, last] + 1e-9 * (own + squares.max())
+    out = []
+    for (ids, _), row, near, limit in zip(queries, q, rough, limits, strict=True):
+        at = np.flatnonzero(near <= limit)
+        far = np.sqrt(((x[at] - row) ** 2).sum(1))
+        found = sorted((d, i) for d, a in zip(far.tolist(), at.tolist(), strict=True) for i in members[a][0] if i != ids[0])[:k]
+        out += [(ids[0], i, d) for d, i in found]
+    return out
 
 
 def probe(index: DataFrame, queries: DataFrame, k: int, tables: int, probes: int) -> DataFrame:
@@ -142,11 +139,42 @@ def probe(index: DataFrame, queries: DataFrame, k: int, tables: int, probes: int
     members = index.join(F.broadcast(parts), keys).withColumn("part", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("parts")).cast("int")).drop("parts")
     asked = _filed(queries, "query_id", "long", tables, probes).join(F.broadcast(parts), keys).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
 
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _best(a, b, k) if len(a) and len(b) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    found = members.groupBy(*keys, "part").cogroup(asked.groupBy(*keys, "part")).applyInPandas(search, "query_id long, vec_id long, score double")
-    return found.distinct()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted: each part's members (at most about BUCKET_ROWS), then its queries."""
+        now, held, waiting, out = None, [], [], []
+
+        def settle() -> None:
+            if held and waiting:
+                out.extend(_best(held, waiting, k))
+            waiting.clear()
+
+        def give() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            names = [column(batch, c) for c in (*keys, "part", "asks", "ids", "vec")]
+            for dim, tbl, bucket, part, asks, ids, vec in zip(*names, strict=True):
+                if (dim, tbl, bucket, part) != now:
+                    settle()
+                    now = (dim, tbl, bucket, part)
+                    held.clear()
+                (waiting if asks else held).append((ids, vec))
+                if len(waiting) >= 256:
+                    settle()
+            if len(out) > 10_000:
+                yield give()
+        settle()
+        yield give()
+
+    one = members.select(*keys, "part", F.lit(0).alias("asks"), "ids", "vec")
+    both = one.unionByName(asked.select(*keys, "part", F.lit(1).alias("asks"), F.array("query_id").alias("ids"), "vec"))
+    dealt = both.repartition(parallel(index.sparkSession), *keys, "part").sortWithinPartitions(*keys, "part", "asks")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
