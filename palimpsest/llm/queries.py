@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, nearest, simhash, token_file
+from palimpsest.llm import bpe, nearest, simhash, token_file, toxicity
 from palimpsest.llm.common import table
 
 
@@ -26,5 +26,12 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(vectors, vectors.where(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_nearest": op2_nearest, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    score = F.col("score")
+    return toxicity.scores(docs, model).select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), score, (score >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op8_toxicity": op8_toxicity, "op1_bpe": op1_bpe, "op2_nearest": op2_nearest, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
 ORACLES: dict[str, str] = {}
