@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, html_text, nearest, simhash, token_file, toxicity
+from palimpsest.llm import bpe, fingerprint, html_text, nearest, simhash, token_file, toxicity
 from palimpsest.llm.common import table
 
 
@@ -37,5 +37,9 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op7_html": op7_html, "op8_toxicity": op8_toxicity, "op1_bpe": op1_bpe, "op2_nearest": op2_nearest, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_and_next(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op1_bpe": op1_bpe, "op2_nearest": op2_nearest, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
 ORACLES: dict[str, str] = {}
