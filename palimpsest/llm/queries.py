@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, fingerprint, html_text, nearest, simhash, token_file, toxicity
+from palimpsest.llm import bpe, fingerprint, html_text, nearest, pseudonyms, simhash, token_file, toxicity
 from palimpsest.llm.common import table
 
 
@@ -41,5 +41,14 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_and_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op1_bpe": op1_bpe, "op2_nearest": op2_nearest, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
+#: The key of the registered query; a real run gets its own from a secret store.
+EXAMPLE_KEY = "example key of the registered query"
+
+
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, EXAMPLE_KEY)
+
+
+QUERIES = {"op10_pseudonyms": op10_pseudonyms, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op1_bpe": op1_bpe, "op2_nearest": op2_nearest, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
 ORACLES: dict[str, str] = {}
