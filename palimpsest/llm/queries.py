@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, fingerprint, html_text, nearest, pseudonyms, simhash, token_file, toxicity
+from palimpsest.llm import bpe, fingerprint, html_text, nearest, pseudonyms, secrets, simhash, token_file, toxicity
 from palimpsest.llm.common import table
 
 
@@ -50,5 +50,9 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, EXAMPLE_KEY)
 
 
-QUERIES = {"op10_pseudonyms": op10_pseudonyms, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op1_bpe": op1_bpe, "op2_nearest": op2_nearest, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train())
+
+
+QUERIES = {"op6_secrets": op6_secrets, "op10_pseudonyms": op10_pseudonyms, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op1_bpe": op1_bpe, "op2_nearest": op2_nearest, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
 ORACLES: dict[str, str] = {}
