@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, fingerprint, html_text, nearest, pseudonyms, secrets, simhash, token_file, toxicity
+from palimpsest.llm import bpe, fingerprint, html_text, nearest, packing, pseudonyms, secrets, simhash, token_file, toxicity
 from palimpsest.llm.common import table
 
 
@@ -54,5 +54,27 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train())
 
 
-QUERIES = {"op6_secrets": op6_secrets, "op10_pseudonyms": op10_pseudonyms, "op4_fingerprint": op4_fingerprint, "op7_html": op7_html, "op8_toxicity": op8_toxicity, "op1_bpe": op1_bpe, "op2_nearest": op2_nearest, "op9_simhash": op9_simhash, "op5_token_file": op5_token_file}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_nearest": op2_nearest,
+    "op3_packing": op3_packing,
+    "op4_fingerprint": op4_fingerprint,
+    "op5_token_file": op5_token_file,
+    "op6_secrets": op6_secrets,
+    "op7_html": op7_html,
+    "op8_toxicity": op8_toxicity,
+    "op9_simhash": op9_simhash,
+    "op10_pseudonyms": op10_pseudonyms,
+    "pipeline": pipeline,
+}
 ORACLES: dict[str, str] = {}
