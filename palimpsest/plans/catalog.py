@@ -56,14 +56,18 @@ def d_list(words: list[str]) -> str:
 
 def d_section(words: list[str]) -> str:
     def one(keyword: str) -> str:
-        parts = keyword.split()
-        here = " AND ".join(f"starts_with(tok[i + {j + 1}], '{p}')" for j, p in enumerate(parts))
-        return f"len(list_filter(range(len(tok) - {len(parts) - 1}), lambda i: {here} AND NOT list_has_any(list_slice(tok, greatest(i - 4, 1), i), {d_list(C.NEGATIONS)}))) > 0"
+        return "(" + " AND ".join(f"starts_with(w{j}, '{p}')" for j, p in enumerate(keyword.split())) + ")"
 
-    return "(" + " OR ".join(map(one, words)) + ")"
+    return "coalesce(bool_or(" + " OR ".join(map(one, words)) + "), false)"
 
 
-D_SECTIONS = ", ".join(f"{d_section(C.listed(w))} AS {s}" for s, w in C.SECTIONS.items())
+# Words as rows, with the two after and whether one of the five before negates.
+D_HIT = (
+    "tk AS (SELECT doc_id, unnest(tok) AS w0, generate_subscripts(tok, 1) AS i FROM t), "
+    f"nb AS (SELECT doc_id, w0, lead(w0, 1, '') OVER q AS w1, lead(w0, 2, '') OVER q AS w2, {' OR '.join(f"list_contains({d_list(C.NEGATIONS)}, lag(w0, {k}, '') OVER q)" for k in range(1, 6))} AS neg FROM tk WINDOW q AS (PARTITION BY doc_id ORDER BY i)), "
+    f"hit AS (SELECT doc_id, {', '.join(f'{d_section(C.listed(w))} AS {s}' for s, w in C.SECTIONS.items())} FROM nb WHERE NOT neg GROUP BY doc_id)"
+)
+D_SECTIONS = ", ".join(f"coalesce(hit.{s}, false) AS {s}" for s in C.SECTIONS)
 D_COLLAPSE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 D_DATES = f"list_transform(regexp_extract_all(text, '(?i){C.DATE}'), lambda d: {D_COLLAPSE.format('d')})"
 D_MARKS = f"list_transform(list_filter(regexp_extract_all(text, '(?i){C.REDACTION}'), lambda m: lower(regexp_extract(m, '(?i){C.REDACTION}', 1)) = 'data'), lambda m: {D_COLLAPSE.format('m')})"
@@ -79,7 +83,7 @@ D_TYPE = (
     + "END::DOUBLE AS confidence FROM y)"
 )
 D_RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{p}', {o}, '{name}', '{field}', '{sev}', '{message}')" for (t, p), rs in C.PROFILES.items() for o, name, field, sev, message in rs) + ") r(document_type, profile_name, ord, name, field_name, severity, message))"
-D_FIELDS = f"fields AS (SELECT typed.*, {D_SECTIONS}, {D_SIGNED} AS has_signature, len({D_FOUND}) > 0 AS has_date, regexp_matches(text, '\\S') AS has_text FROM typed)"
+D_FIELDS = f"{D_HIT}, fields AS (SELECT typed.*, {D_SECTIONS}, {D_SIGNED} AS has_signature, len({D_FOUND}) > 0 AS has_date, regexp_matches(text, '\\S') AS has_text FROM typed LEFT JOIN hit ON typed.doc_id = hit.doc_id)"
 D_TRUTH = "CASE r.field_name " + " ".join(f"WHEN '{f}' THEN f.{f}" for f in rules.FIELDS) + " END"
 D_ISSUES = (
     f"{D_TEXT}, {D_TYPE}, {D_FIELDS}, {D_RULES}, issues AS (SELECT f.doc_id, r.ord, r.field_name, r.severity, r.message FROM fields f JOIN rules r USING (document_type) WHERE NOT ({D_TRUTH}) "
@@ -108,7 +112,7 @@ def labels_and_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamped(spark, sf_dir).select("doc_id", F.expr(f"array_join({formal.redaction_labels('text')}, ',')").alias("labels"), F.expr(formal.signed("text")).alias("has_signature"))
 
 
-@query(f"{D_TEXT} SELECT doc_id, {D_SECTIONS} FROM t")
+@query(f"{D_TEXT}, {D_HIT} SELECT t.doc_id, {D_SECTIONS} FROM t LEFT JOIN hit ON t.doc_id = hit.doc_id")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formal.extract(stamped(spark, sf_dir)).select("doc_id", *C.SECTIONS)
 
@@ -151,9 +155,9 @@ def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reports(spark, sf_dir).select(F.explode("issues").alias("i")).groupBy("i.severity", "i.field_name").agg(F.count("*").alias("n"))
 
 
-D_PAGES = f"pages AS ({fixtures.pages()}), w AS (SELECT conv_id, turn, text, unnest(list_filter(string_split(text, ' '), lambda t: t <> '')) AS word, generate_subscripts(list_filter(string_split(text, ' '), lambda t: t <> ''), 1) - 1 AS idx FROM pages)"
 D_PAGE_DATES = f"list_distinct(flatten(list_transform(list_concat(regexp_extract_all(text, '{C.PAGE_DATE}'), regexp_extract_all(text, '(?i){C.PAGE_DATE_PL}')), lambda d: string_split(lower(d), ' '))))"
-D_OWN = f"CASE WHEN regexp_matches(word, '^{C.PESEL}') THEN 'PESEL' WHEN regexp_matches(word, '(?i)^(?:{C.ADDRESS})') THEN 'ADRES' WHEN regexp_matches(word, '^(?:{C.EMAIL})') THEN 'EMAIL' WHEN regexp_matches(word, '^(?:{C.PHONE})([^0-9]|$)') THEN 'TELEFON' WHEN list_contains({D_PAGE_DATES}, lower(word)) THEN 'DATA' END"
+D_PAGES = f"pages AS ({fixtures.pages()}), w AS (SELECT conv_id, turn, {D_PAGE_DATES} AS dates, unnest(list_filter(string_split(text, ' '), lambda t: t <> '')) AS word, generate_subscripts(list_filter(string_split(text, ' '), lambda t: t <> ''), 1) - 1 AS idx FROM pages)"
+D_OWN = f"CASE WHEN regexp_matches(word, '^{C.PESEL}') THEN 'PESEL' WHEN regexp_matches(word, '(?i)^(?:{C.ADDRESS})') THEN 'ADRES' WHEN regexp_matches(word, '^(?:{C.EMAIL})') THEN 'EMAIL' WHEN regexp_matches(word, '^(?:{C.PHONE})([^0-9]|$)') THEN 'TELEFON' WHEN list_contains(dates, lower(word)) THEN 'DATA' END"
 D_HITS = f"WITH {D_PAGES}, hits AS (SELECT conv_id, turn, idx, word, {D_OWN} AS kind FROM w)"
 
 
