@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palimpsest.functions.constants import NEGATIONS
 
@@ -69,7 +70,7 @@ def first_of_each(values: str, key: str) -> str:
     return f"transform(filter(transform({values}, (x, i) -> named_struct('x', x, 'first', array_position({keys}, {key}) = i + 1)), s -> s.first), s -> s.x)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def classifier_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Lower case, compatibility decomposition, ASCII alone, punctuation as blanks. Spark has no such decomposition."""
     for some in texts:

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from palimpsest.functions import text as T
 
@@ -50,7 +51,7 @@ def review(docs: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[p
     return asked.mapInPandas(model, asked.withColumn("raw_reply", F.lit("")).schema)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters of two lower-cased strings; words change and references stay, which the matcher caches."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
