@@ -460,7 +460,7 @@ class Encoder:
     def texts(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, bool]]:
         """(index, ids, whether this ends the text), in order."""
         long = [len(t) > BLOCK_CHARS or bool(self.split and self.split.search(t)) for t in texts]
-        for a, b in text_runs([BLOCK_CHARS + 1 if far else len(t) for far, t in zip(long, texts, strict=True)]):
+        for a, b in text_runs([BLOCK_CHARS + 1 if far else len(t) for far, t in zip(long, texts, strict=True)], BLOCK_CHARS):
             if long[a]:
                 for ids in self.pieces(texts[a]):
                     yield a, ids, False
