@@ -6,8 +6,10 @@ segments differ in at most l * t / SEGMENTS bits together, for every l. Candidat
 (budget 0) and differ in at most one bit in the first two (budget 1), which a join on both finds when one side also
 offers the second segment with each bit flipped; the longer chains are then checked, and last the whole distance.
 
-However many rows share a text or a fingerprint, they enter the join as one row; Spark splits a join key that many
-different fingerprints share.
+However many rows share a text or a fingerprint, they enter the join as one row. Only the components count, so links
+are made in two passes: first each fingerprint meets its next neighbours in the order of each bucket, then the join
+gives only links between different components of the first pass. None is lost, and a group of many close fingerprints
+does not come out as all of its pairs.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and link like any other; equal
 fingerprints form one component; repeated rows give repeated result rows; extra columns are ignored; an empty table
@@ -22,7 +24,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import column, stored, text_or_empty
@@ -99,18 +101,34 @@ def _key(fp: Column, k: int, flip: int = 0) -> Column:
     return F.lit(k << 26).cast("long").bitwiseOR(F.shiftleft(first, 13)).bitwiseOR(second.bitwiseXOR(F.lit(flip).cast("long")))
 
 
+NEIGHBOURS = 3
+
+
+def chained(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b): nodes whose fingerprints stand within NEIGHBOURS places in a bucket and within ``threshold`` bits.
+
+    A few links for each fingerprint, which already join most of a large group.
+    """
+    fp = F.col("fp")
+    indexed = prints.select("fp", "node", F.explode(F.array(*[_key(fp, k) for k in range(len(SEGMENTS))])).alias("key"))
+    row, order = F.struct("fp", "node"), Window.partitionBy("key").orderBy("fp")
+    near = indexed.select("fp", "node", F.explode(F.array(*[F.lag(row, k).over(order) for k in range(1, NEIGHBOURS + 1)])).alias("p"))
+    return near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= threshold).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): pairs of different fingerprints, as signed longs, within ``threshold`` bits of one another.
+    """(a, b): labels of fingerprints within ``threshold`` bits of one another that are not joined yet.
 
-    prints: a column ``fp``, distinct. The budgets below hold for thresholds up to 4.
+    prints: distinct fingerprints ``fp`` as signed longs and the ``label`` of what each belongs to so far. The budgets
+    below hold for thresholds up to 4.
     """
     if not 0 <= threshold <= len(SEGMENTS) - 1:
         raise ValueError("the segments serve thresholds from 0 to 4")
     n = len(SEGMENTS)
     fp = F.col("fp")
     flips = [(k, 0) for k in range(n)] + [(k, 1 << bit) for k in range(n) for bit in range(SEGMENTS[(k + 1) % n][1]) if 2 * threshold // n >= 1]
-    offered = prints.select(fp.alias("a"), F.explode(F.array(*[_key(fp, k, flip) for k, flip in flips])).alias("key"))
-    indexed = prints.select(fp.alias("b"), F.explode(F.array(*[_key(fp, k) for k in range(n)])).alias("key"))
+    offered = prints.select(fp.alias("a"), F.col("label").alias("la"), F.explode(F.array(*[_key(fp, k, flip) for k, flip in flips])).alias("key"))
+    indexed = prints.select(fp.alias("b"), F.col("label").alias("lb"), F.explode(F.array(*[_key(fp, k) for k in range(n)])).alias("key"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     chains = F.lit(False)
     for k in range(n):
@@ -120,8 +138,9 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             if length > 2:
                 ok = ok & (total <= length * threshold // n)
         chains = chains | ok
-    found = offered.join(indexed, "key").where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= threshold) & chains)
-    return found.select("a", "b").distinct()
+    fresh = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+    found = offered.join(indexed, "key").where(fresh & (F.bit_count(differ) <= threshold) & chains)
+    return found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,10 +165,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fingerprint, component_id): one row for each input row."""
     prints = stored(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "fingerprints").withColumnRenamed(id_col, "id")
     groups = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("node")).withColumn("fp", F.conv("fingerprint", 16, -10).cast("long")), "groups")
-    near = links(groups.select("fp"), threshold)
-    a, b = groups.select(F.col("fp").alias("a"), F.col("node").alias("na")), groups.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
-    edges = near.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    found = groups.join(components(edges), "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    first = components(chained(groups, threshold)).withColumnRenamed("component", "label")
+    labelled = stored(groups.join(first, "node", "left").select("fingerprint", "fp", F.coalesce("label", "node").alias("label")), "labelled")
+    joined = components(links(labelled, threshold)).withColumnRenamed("node", "label")
+    found = labelled.join(joined, "label", "left").select("fingerprint", F.coalesce("component", "label").alias("component_id"))
     return prints.join(found, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
