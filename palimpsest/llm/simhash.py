@@ -112,7 +112,7 @@ def chained(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     fp = F.col("fp")
     indexed = prints.select("fp", "node", F.explode(F.array(*[_key(fp, k) for k in range(len(SEGMENTS))])).alias("key"))
     row, order = F.struct("fp", "node"), Window.partitionBy("key").orderBy("fp")
-    near = indexed.select("fp", "node", F.explode(F.array(*[F.lag(row, k).over(order) for k in range(1, NEIGHBOURS + 1)])).alias("p"))
+    near = indexed.withColumn("before", F.array(*[F.lag(row, k).over(order) for k in range(1, NEIGHBOURS + 1)])).select("fp", "node", F.explode("before").alias("p"))
     return near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= threshold).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
