@@ -66,8 +66,8 @@ def mentions(search: str, toks: str, keywords: list[str]) -> str:
 
 def first_of_each(values: str, key: str) -> str:
     """Values without those whose key (SQL over ``x``) an earlier one has."""
-    keys = f"transform({values}, x -> {key})"
-    return f"transform(filter(transform({values}, (x, i) -> named_struct('x', x, 'first', array_position({keys}, {key}) = i + 1)), s -> s.first), s -> s.x)"
+    kept = "filter(vs, (x, i) -> array_position(ks, ks[i]) = i + 1)"
+    return f"transform(array({values}), vs -> transform(array(transform(vs, x -> {key})), ks -> {kept})[0])[0]"
 
 
 @F.pandas_udf(StringType())

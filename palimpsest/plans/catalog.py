@@ -192,7 +192,7 @@ def flat_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("conv_id", "word_id", "text", F.col("x").cast("long").alias("x"), (F.get("turns", F.col("page") - 1) + 1).alias("page"))
 
 
-D_PAYLOAD = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2)) WHEN 2 THEN concat(split_part(text, ' ', 1), chr(10), split_part(text, ' ', 2)) ELSE '' END AS content, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 END::DOUBLE AS confidence FROM documents"
+D_PAYLOAD = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN rtrim(concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2)), ' ') WHEN 2 THEN rtrim(concat(split_part(text, ' ', 1), chr(10), split_part(text, ' ', 2)), chr(10)) ELSE '' END AS content, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 END::DOUBLE AS confidence FROM documents"
 
 
 @query(D_PAYLOAD)
