@@ -5,11 +5,11 @@ texts have something to share. Each distinct paragraph has a 64-bit digest: 44 b
 them. The sketch puts a digest into one cell of each of three tables; a cell holds a count and the exclusive or of its
 digests. Two versions' sketches subtract cell by cell, what they share vanishes, and peeling cells with a single digest
 recovers exactly those in which the versions differ. If that fails, the comparison is made again larger: the digests
-are dealt into as many groups as their number asks for, each with its own sketch, and a group that still fails gets
-larger tables. Likeness is the Jaccard coefficient of the paragraph sets, from their sizes and the recovered digests.
+are dealt by ranges into as many groups as their number asks for, each with its own sketch, and a group that still
+fails gets larger tables. Likeness is the Jaccard coefficient of the paragraph sets, from their sizes and the recovered digests.
 
-Work grows with the length of a text (a small share of it with the square, for texts of millions of words), needs
-neither Python nor a shuffle, and stays in the row.
+A table's cells are runs of its entries in the order of the bits that place them, so one sort and one pass fill it.
+Work grows with the length of a text, needs neither Python nor a shuffle, and stays in the row.
 
 Defined cases: null text counts as empty; two texts without paragraphs are alike (1.0); equal texts have equal
 fingerprints; repeated paragraphs count once.
@@ -28,39 +28,52 @@ PIECE, HEAD = 16, 16
 TABLES = 3
 #: Cells of each table: of the fingerprint, then of groups that fail.
 SIZES = (16, 64, 256, 4096)
-#: Differing digests that a group is made for.
+#: Leading bits of a digest that no cell of a level depends on.
+SKIP = (18, 24, 30, 20)
+#: The count of a mark among entries; less than any entry's, so marks come first among equals.
+MARK = -9
+#: Digests of both texts in a group.
 GROUP = 20
 ROUNDS = 24
 
 
-def _bits(size: int) -> int:
-    return size.bit_length() - 1
-
-
 def _key(hashed: str) -> str:
     return f"transform(array(shiftrightunsigned({hashed}, 20)), d -> shiftleft(d, 20) | (xxhash64(d) & 1048575))[0]"
 
 
 def digests(text: str) -> str:
     """SQL for the distinct paragraph digests of a text expression."""
-    words = "filter(split(line, '\\\\s+'), w -> w != '')"
-    pieces = f"transform(filter(transform(split({text}, '\\n'), line -> {words}), ws -> size(ws) > 0), ws -> transform(sequence(0, size(ws) - 1, {PIECE}), i -> {_key(f"xxhash64(array_join(slice(ws, i + 1, {PIECE}), ' '))")}))"
+    spaced = f"regexp_replace({text}, '[^\\\\S\\n]+', ' ')"
+    words = "array_remove(split(line, ' '), '')"
+    pieces = f"transform(filter(transform(split({spaced}, '\\n'), line -> {words}), ws -> size(ws) > 0), ws -> transform(sequence(0, size(ws) - 1, {PIECE}), i -> {_key(f"xxhash64(array_join(slice(ws, i + 1, {PIECE}), ' '))")}))"
     head = f"transform(filter(slice(split({text}, '\\\\s+', {HEAD + 2}), 1, {HEAD}), w -> w != ''), w -> {_key("xxhash64('word', w)")})"
     return f"array_distinct(concat(flatten({pieces}), {head}))"
 
 
-def _place(key: str, table: str, level: int) -> str:
-    """The cell of a digest in a table of a level, from bits of its hash."""
-    width = _bits(SIZES[level])
-    return f"(shiftrightunsigned({key}, 20 + {level * 3} + {width} * {table}) & {SIZES[level] - 1})"
+def _bits(size: int) -> int:
+    return size.bit_length() - 1
+
+
+def _turn(level: int, table: int | str) -> str:
+    """How many leading bits of a digest come before those that give its cell in a table."""
+    return f"({SKIP[level]} + {_bits(SIZES[level])} * {table})"
+
+
+def _sketch_table(signed: str, level: int, table: int) -> str:
+    """SQL for one table: rotated entries sort into the order of cells, with a mark where each cell but the first begins."""
+    size, bits, turn = SIZES[level], _bits(SIZES[level]), SKIP[level] + _bits(SIZES[level]) * table
+    at = range(1 - size // 2, size // 2)
+    marks = f"array({', '.join(f"named_struct('k', {i << (64 - bits)}L, 'n', {MARK})" for i in at)})" if size <= 64 else f"transform(sequence({at[0]}, {at[-1]}), i -> named_struct('k', shiftleft(CAST(i AS BIGINT), {64 - bits}), 'n', {MARK}))"
+    turned = f"transform({signed}, e -> named_struct('k', shiftleft(e.k, {turn}) | shiftrightunsigned(e.k, {64 - turn}), 'n', e.n))"
+    cell = f"concat(s.done, array(named_struct('n', s.n, 'k', shiftrightunsigned(s.k, {turn}) | shiftleft(s.k, {64 - turn}))))"
+    none = "CAST(array() AS ARRAY<STRUCT<n: INT, k: BIGINT>>)"
+    step = f"IF(e.n = {MARK}, named_struct('done', {cell}, 'n', 0, 'k', 0L), named_struct('done', s.done, 'n', s.n + e.n, 'k', s.k ^ e.k))"
+    return f"aggregate(sort_array(concat({turned}, {marks})), named_struct('done', {none}, 'n', 0, 'k', 0L), (s, e) -> {step}, s -> {cell})"
 
 
 def sketch(signed: str, level: int = 0) -> str:
     """SQL for the cells of an array of (n, k): counts and exclusive ors. Subtracted entries have n = -1."""
-    size = SIZES[level]
-    add = "aggregate(own, named_struct('n', 0, 'k', 0L), (c, e) -> named_struct('n', c.n + e.n, 'k', c.k ^ e.k))"
-    own = f"filter({signed}, e -> {_place('e.k', f'shiftright(i, {_bits(size)})', level)} = (i & {size - 1}))"
-    return f"transform(sequence(0, {TABLES * size - 1}), i -> transform(array({own}), own -> {add})[0])"
+    return f"concat({', '.join(_sketch_table(signed, level, table) for table in range(TABLES))})"
 
 
 def entries(keys: str, sign: int = 1) -> str:
@@ -73,24 +86,23 @@ def subtract(a: str, b: str) -> str:
 
 def peel(cells: str, level: int = 0) -> str:
     """SQL for the number of digests recovered from a sketch; null if peeling gets stuck."""
-    size = SIZES[level]
+    size, bits = SIZES[level], _bits(SIZES[level])
     check = "(xxhash64(shiftrightunsigned(c.k, 20)) & 1048575) = (c.k & 1048575)"
-    single = f"array_distinct(filter(s.cells, (c, i) -> abs(c.n) = 1 AND {check} AND {_place('c.k', f'shiftright(i, {_bits(size)})', level)} = (i & {size - 1})))"
-    hit = f"filter(pure, p -> {_place('p.k', f'shiftright(i, {_bits(size)})', level)} = (i & {size - 1}))"
-    less = f"transform(s.cells, (c, i) -> aggregate({hit}, c, (x, p) -> named_struct('n', x.n - p.n, 'k', x.k ^ p.k)))"
-    step = f"transform(array({single}), pure -> IF(size(pure) = 0, named_struct('cells', s.cells, 'found', s.found, 'go', false), named_struct('cells', {less}, 'found', s.found + size(pure), 'go', true)))[0]"
+    place = f"shiftright(shiftleft(c.k, {_turn(level, f'shiftright(i, {bits})')}), {64 - bits}) + {size // 2} = (i & {size - 1})"
+    single = f"array_distinct(filter(s.cells, (c, i) -> abs(c.n) = 1 AND {check} AND {place}))"
+    step = f"transform(array({single}), pure -> IF(size(pure) = 0, named_struct('cells', s.cells, 'found', s.found, 'go', false), named_struct('cells', {subtract('s.cells', sketch('pure', level))}, 'found', s.found + size(pure), 'go', true)))[0]"
     done = "IF(forall(s.cells, c -> c.n = 0 AND c.k = 0L), s.found, CAST(NULL AS INT))"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', 0, 'go', true), (s, r) -> IF(s.go, {step}, s), s -> {done})"
 
 
 def differing(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
     """SQL for how many digests two texts differ in, from their sketches; larger sketches where those do not peel."""
-    groups = f"CAST(greatest(2, ceil((size({a}) + size({b})) / {GROUP})) AS INT)"
-    both = f"concat({entries(a)}, {entries(b, -1)})"
+    both = f"sort_array(concat(transform({a}, k -> named_struct('k', k, 'n', 1)), transform({b}, k -> named_struct('k', k, 'n', -1))))"
     ladder = ", ".join(peel(sketch("es", level), level) for level in range(len(SIZES)))
-    own = "filter(every, e -> pmod(shiftrightunsigned(e.k, 20), groups) = g)"
+    bound = lambda j: f"({j} + IF(coalesce(get(every, {j} - 1).k = get(every, {j}).k, false), 1, 0))"
+    own = f"slice(every, {bound('j')} + 1, {bound(f'(j + {GROUP})')} - {bound('j')})"
     one = f"transform(array({own}), es -> IF(size(es) = 0, 0, coalesce({ladder})))[0]"
-    larger = f"transform(array({both}), every -> transform(array({groups}), groups -> aggregate(sequence(0, groups - 1), 0, (total, g) -> total + {one}))[0])[0]"
+    larger = f"transform(array({both}), every -> aggregate(sequence(0, greatest(size(every) - 1, 0), {GROUP}), 0, (total, j) -> total + {one}))[0]"
     return f"coalesce({peel(subtract(sketch_a, sketch_b))}, {larger})"
 
 
@@ -132,9 +144,11 @@ def _range_of(cuts: list[int]) -> Column:
     return F.expr(below) if cuts else F.lit(0)
 
 
-def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column], parts: int | None = None) -> DataFrame:
     """Rows (ord, ...) with next_<column> of the row that follows by ``ord``; the first follows the last.
 
+    derived: columns that are made once for each row, before it meets its next.
+
     Rows meet their next in windows over ranges of ids. Each range also gets a copy of the row that opens the range
     after it, so no window spans the table; one id for each range goes through the driver.
     """
@@ -144,11 +158,11 @@ def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) ->
     ranged = docs.withColumn("range", _range_of(cuts))
     firsts = sorted((r["range"], r["ord"]) for r in ranged.groupBy("range").agg(F.min("ord").alias("ord")).collect())
     if not firsts:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return docs.withColumns(derived).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     after = [(ordinal, before) for (before, _), (_, ordinal) in zip(firsts, [*firsts[1:], firsts[0]], strict=True)]
     opening = F.broadcast(spark.createDataFrame(after, "ord long, before int"))
     lent = docs.join(opening, "ord").withColumn("range", F.col("before")).drop("before").withColumn("lent", F.lit(1))
-    rows = ranged.withColumn("lent", F.lit(0)).unionByName(lent)
+    rows = ranged.withColumn("lent", F.lit(0)).unionByName(lent).withColumns(derived)
     window = Window.partitionBy("range").orderBy("lent", "ord", "text")
     return rows.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns]).where("lent = 0").drop("lent", "range")
 
@@ -160,10 +174,11 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Compare each text with an edit of it (its last quarter replaced by the next text's opening) and with the next."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(LOWEST)))
-    follows = with_next(rows, ["text"])
+    follows = with_next(rows, ["text", "keys"], {"keys": F.expr(digests("text"))})
     size = follows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.expr("CAST(n_chars DIV 4 AS INT)"))
     edited = size.withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars AS INT) - cut), substring(next_text, 1, cut))"))
-    prints = with_fingerprint(with_fingerprint(with_fingerprint(edited), "edited", "edited_"), "next_text", "next_")
+    keyed = edited.withColumn("edited_keys", F.expr(digests("edited")))
+    prints = keyed.withColumns({f"{p}cells": F.expr(sketch(entries(f"{p}keys"))) for p in ("", "edited_", "next_")})
     return prints.select(
         "doc_id",
         "n_chars",
