@@ -35,14 +35,14 @@ SEGMENTS = [(51, 13), (38, 13), (25, 13), (12, 13), (0, 12)]
 THRESHOLD = 4
 
 
-def shingle_hashes(text: str) -> list[int]:
+def shingle_hashes(text: str, size: int = SHINGLE) -> list[int]:
     words = text.encode().lower().split()
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
     joined = b" ".join(words)
     begin = [0, *accumulate(len(w) + 1 for w in words)]
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[s : e - 1], SEED) for s, e in zip(begin, begin[SHINGLE:])]  # noqa: B905
+    return [digest(joined[s : e - 1], SEED) for s, e in zip(begin, begin[size:])]  # noqa: B905
 
 
 def bit_counts(hashes: list[int], sizes: list[int]) -> np.ndarray:
