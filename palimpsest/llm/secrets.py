@@ -42,7 +42,7 @@ IN_RUN = np.zeros(256, bool)
 IN_RUN[[ord(c) for c in string.ascii_letters + string.digits + "_/+.=-"]] = True
 LEAST_RUN = 16
 NAMED = re.compile(rf"(?:{NAME})[\"']?[ \t]{{0,4}}$", re.I)
-VALUE = re.compile(r"(?:=>|:=|[:=])[ \t]{0,4}([\"']?)([^\s\"',;]{6,512})")
+VALUE = re.compile(r"(?:=>|:=|[:=])[ \t]{0,4}([\"']?)([^\s\"',;]{6,})")
 NAME_END = re.compile(rf"(?:{NAME})[\"'=:> \t]*$", re.I)
 WORD = re.compile(r"[A-Za-z][A-Za-z_-]*")
 CONTEXT = 48
@@ -63,9 +63,15 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, whether a name assigns it), in order and apart."""
     found = []
     data = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    reach = 0  # the end of the last value; one that starts within it ends with it, so it is not read again
     for at in np.flatnonzero((data == 61) | (data == 58)).tolist():
-        if NAMED.search(text, max(0, at - 32), at) and (m := VALUE.match(text, at)):
-            found.append((m.start(2), m.end(2), True))
+        if NAMED.search(text, max(0, at - 32), at):
+            m = VALUE.match(text, at, at + 16 if at < reach else len(text))
+            if m and at < reach <= m.start(2):
+                m = VALUE.match(text, at)
+            if m:
+                reach = reach if m.start(2) < reach else m.end(2)
+                found.append((m.start(2), reach, True))
     edges = np.flatnonzero(np.diff(IN_RUN[data], prepend=False, append=False))
     for start, end in edges.reshape(-1, 2)[np.diff(edges)[::2] >= LEAST_RUN].tolist():
         run = text[start:end].rstrip("=.-")
@@ -84,34 +90,32 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
 
 def describe(value: str, before: str, after: str, assigned: bool) -> list[float]:
     n = len(value)
-    some = value[:512]
-    counts = {c: some.count(c) for c in set(some)}
-    kinds = [kind(c) for c in some]
-    m = len(some)
-    letters = [ord(c) - 97 for c in some.lower() if "a" <= c <= "z"]
+    counts = {c: value.count(c) for c in set(value)}
+    kinds = [kind(c) for c in value]
+    letters = [ord(c) - 97 for c in value.lower() if "a" <= c <= "z"]
     pairs = float(np.mean(PAIRS[letters[:-1], letters[1:]])) if len(letters) > 2 else -1.0
-    low, covered, at = some.lower(), 0, 0
-    while at < m:
-        size = next((k for k in range(min(9, m - at), 3, -1) if low[at : at + k] in DICTIONARY), 0)
+    low, covered, at = value.lower(), 0, 0
+    while at < n:
+        size = next((k for k in range(min(9, n - at), 3, -1) if low[at : at + k] in DICTIONARY), 0)
         covered += size
         at += size or 1
     near = [w.lower() for w in WORD.findall(before)[-4:] + WORD.findall(after)[:2]]
     return [
         min(n, 200),
-        -sum(c / m * math.log2(c / m) for c in counts.values()),
-        kinds.count(0) / m,
-        kinds.count(2) / m,
-        kinds.count(1) / m,
-        kinds.count(3) / m,
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / m,  # noqa: B905
+        -sum(c / n * math.log2(c / n) for c in counts.values()),
+        kinds.count(0) / n,
+        kinds.count(2) / n,
+        kinds.count(1) / n,
+        kinds.count(3) / n,
+        sum(a != b for a, b in zip(kinds, kinds[1:])) / n,  # noqa: B905
         pairs,
-        covered / m,
-        float(all(c in string.hexdigits for c in some)),
-        max(counts.values()) / m,
-        some.count("/") / m + bool(re.search(r"\.[a-z]{2,4}$", some)),
-        float(bool(re.match(r"(?:[a-z0-9-]+\.){2,}[a-z]{2,}$|(?:\d+\.){2,}\d+$", some))),
-        float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", some))),
-        float(some.startswith(PREFIXES)),
+        covered / n,
+        float(all(c in string.hexdigits for c in value)),
+        max(counts.values()) / n,
+        value.count("/") / n + bool(re.search(r"\.[a-z]{2,4}$", value)),
+        float(bool(re.match(r"(?:[a-z0-9-]+\.){2,}[a-z]{2,}$|(?:\d+\.){2,}\d+$", value))),
+        float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", value))),
+        float(value.startswith(PREFIXES)),
         float(bool(NAME_END.search(before)) or any(w in NAMES for w in near)),
         float(assigned),
         float(sum(w in HARMLESS for w in near)),
