@@ -1,10 +1,12 @@
 """Main text of web pages: site templates go by recurrence, page furniture by its role.
 
-Every element subtree of a page has a hash over its tag, class and text. Spark counts the hashes by host; a subtree
-that recurs on many pages of a host is part of that site's template and is deleted. What stays is the main container
+Every element subtree of a page has a hash over its tag, class and text. Spark counts the hashes by host, over pages of
+different content: those with the same main text before templates go count once. A subtree that recurs on many of
+them is part of that site's template and is deleted. What stays is the main container
 (``article`` or ``main``, else the body) without the elements whose tag, role or class says that they are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts or reader comments. Inside an article, paragraphs,
-headings and list items are never taken for a template: copies of a page on one host keep their text.
+headings, list items, cells and what holds them are never taken for a template: copies of a page on one host keep
+their text.
 
 The recurring subtrees go to the executors by broadcast only while there are at most ``BROADCAST_ROWS`` of them;
 beyond that they are joined, the pages of a hot host dealt out by page.
@@ -39,6 +41,8 @@ DROPPED = frozenset("head nav footer aside form button select option dialog menu
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt"} | {"li", "dd", "dt"}
 KEPT_IN_ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th tr dd dt figcaption b i em strong a span code u s small sub sup br q cite".split())
+#: Of these, what keeps the elements around it too.
+KEPT_WITH_PARENTS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
@@ -170,16 +174,44 @@ def mains(root: Node) -> list[Node]:
     return [n for n in _elements(root) if n.tag == "body"][:1] or [root]
 
 
+def spared(top: Node) -> set[int]:
+    """The elements (by id()) of an article or main element that no template takes: its text and what holds it."""
+    out: set[int] = set()
+    if top.tag not in ("article", "main"):
+        return out
+    holding: set[int] = set()
+    above: dict[int, Node] = {}
+    pending = [top]
+    while pending:
+        here = pending.pop()
+        if here is not top and (here.tag in DROPPED or here.furniture):
+            continue
+        if here.tag in KEPT_IN_ARTICLE:
+            out.add(id(here))
+        if here.tag in KEPT_WITH_PARENTS:
+            node = above.get(id(here))
+            while node is not None and id(node) not in holding:
+                holding.add(id(node))
+                node = above.get(id(node))
+        for c in here.children:
+            if isinstance(c, Node):
+                above[id(c)] = here
+                pending.append(c)
+    return out | holding
+
+
 def template_candidates(root: Node) -> set[int]:
     """Digests of the subtrees that may belong to a site's template."""
     chosen = mains(root)
-    inside = {id(n) for m in chosen if m.tag in ("article", "main") for n in _elements(m)}
-    tops = {id(m) for m in chosen}
-    return {n.digest for n in _elements(root) if n.tag not in ("#root", "html", "body", "head") and id(n) not in tops and not (id(n) in inside and n.tag in KEPT_IN_ARTICLE)}
+    kept = {id(m) for m in chosen}.union(*map(spared, chosen))
+    return {n.digest for n in _elements(root) if n.tag not in ("#root", "html", "body", "head") and id(n) not in kept}
 
 
 def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    root = parse(page)
+    return text_of(parse(page), templates)
+
+
+def text_of(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
     blocks: list[str] = []
     held: list[str] = []
 
@@ -191,6 +223,7 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
 
     for top in mains(root):
         article = top.tag in ("article", "main")
+        kept = spared(top) if templates else ()
         pending: list = [("open", top, False)]
         while pending:
             what, node, heading_only = pending.pop()
@@ -207,7 +240,7 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
                     if block:
                         flush()
                     continue
-                if node.digest in templates and not (article and node.tag in KEPT_IN_ARTICLE):
+                if node.digest in templates and id(node) not in kept:
                     if block:
                         flush()
                     continue
@@ -229,21 +262,26 @@ def _signed(digest: int) -> int:
 
 
 def recurring(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, digest): the subtrees on at least ``least_pages`` pages and ``least_share`` of the pages of a host."""
+    """(host, digest): the subtrees on at least ``least_pages`` and ``least_share`` of the different pages of a host.
+
+    Of pages with the same content, the one with the smallest digest of its html counts.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # The counts of a batch go out added up, and each page once under the digest null.
-            counts: dict[tuple[str, int | None], int] = {}
+            seen: dict[tuple[str, int], tuple[int, list[int]]] = {}
             for host, page in zip(column(batch, "host"), column(batch, "html"), strict=True):
-                for digest in (None, *template_candidates(parse(page))):
-                    counts[host, digest] = counts.get((host, digest), 0) + 1
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([d if d is None else _signed(d) for _, d in keys], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["host", "digest", "n"])
-
-    counts = pages.mapInArrow(run, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n"))
-    often = counts.where((F.col("n") >= least_pages) & F.col("digest").isNotNull())
-    sizes = counts.where(F.col("digest").isNull() & (F.col("n") >= least_pages)).select("host", F.col("n").alias("pages"))
+                root, name = parse(page), _signed(xxhash.xxh64_intdigest(page))
+                content = _signed(xxhash.xxh64_intdigest(text_of(root)))
+                if (host, content) not in seen or name < seen[host, content][0]:
+                    seen[host, content] = name, [_signed(d) for d in template_candidates(root)]
+            names, digests = zip(*seen.values(), strict=True) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int64()), pa.array(names, pa.int64()), pa.array(digests, pa.list_(pa.int64()))], ["host", "content", "name", "digests"])
+
+    found = pages.mapInArrow(run, "host string, content long, name long, digests array<long>")
+    different = stored(found.groupBy("host", "content").agg(F.min_by("digests", "name").alias("digests")), "different-pages")
+    sizes = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    often = different.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     return often.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "digest")
 
 
