@@ -162,7 +162,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """(id, fingerprint, component_id): one row for each input row."""
+    """(id, fingerprint, component_id): one row for each input row with an id; rows with a null id give none."""
     prints = stored(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "fingerprints").withColumnRenamed(id_col, "id")
     groups = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("node")).withColumn("fp", F.conv("fingerprint", 16, -10).cast("long")), "groups")
     first = components(chained(groups, threshold)).withColumnRenamed("component", "label")
@@ -173,7 +173,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """The documents without all but the one with the smallest id of each component; rows without an id stay."""
+    """The documents without all but the one with the smallest id of each component; rows without an id stay.
+
+    Of rows that share an id any one stays, even if their texts differ; near_copies.one_of_each tells them apart.
+    """
     kept = near_duplicates(docs, id_col, text_col, threshold).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     first = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
     return first.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
