@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -25,14 +25,33 @@ def strings(values: list[str]) -> str:
     return "array(" + ", ".join(map(quoted, values)) + ")" if values else "CAST(array() AS ARRAY<STRING>)"
 
 
+def bound(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def each(rows: DataFrame, values: str, name: str) -> DataFrame:
+    """A row for each element of the array ``values``.
+
+    From a plain explode the optimiser infers size(...) > 0 and pushes that, with all that makes the array, below the
+    joins that feed it; the outer one leaves the array where it is.
+    """
+    return rows.withColumn(name, F.explode_outer(F.expr(values))).where(F.col(name).isNotNull())
+
+
 def fold(text: str) -> str:
     """Lower case, sharp s as ss, the nine Polish letters as ASCII; other accents stay."""
-    return f"translate(replace(lower({text}), 'ß', 'ss'), 'ąćęłńóśźż', 'acelnoszz')"
+    low, letters = f"lower({text})", "ąćęłńóśźż"
+    return f"IF({low} RLIKE '[ß{letters}]', translate(replace({low}, 'ß', 'ss'), '{letters}', 'acelnoszz'), {low})"
 
 
 def searchable(text: str) -> str:
     """Folded text with everything but letters and digits of ASCII as single blanks."""
-    return f"trim(regexp_replace({fold(text)}, '[^a-z0-9]+', ' '))"
+    return searchable_of(fold(text))
+
+
+def searchable_of(folded: str) -> str:
+    return f"trim(regexp_replace({folded}, '[^a-z0-9]+', ' '))"
 
 
 def tokens(search: str) -> str:
@@ -51,17 +70,22 @@ def collapsed(text: str) -> str:
     return f"trim(regexp_replace({text}, {pattern(r'\s+', '(?U)')}, ' '))"
 
 
-def mentions(search: str, toks: str, keywords: list[str]) -> str:
-    """Whether a keyword occurs, its words as prefixes of successive tokens, with no negation in the five tokens before.
+def unnegated(search: str) -> str:
+    """Searchable text in which negations and the five words after each are marks, which no keyword matches.
 
-    The token walk only runs on texts that one regular expression over all keywords lets through.
+    A negation becomes #5 and a word after a mark the next smaller one: each pass is one scan of the text.
     """
+    some = "|".join(NEGATIONS)
+    marked = f"regexp_replace({search}, '(?<= |^)(?:{some})(?= |$)', '#5')"
+    for k in range(5, 0, -1):
+        marked = f"regexp_replace({marked}, '(?<=#{k} )[a-z0-9]+', '#{k - 1}')"
+    return f"IF({search} RLIKE '(?: |^)(?:{some})(?: |$)', {marked}, {search})"
+
+
+def mentions(unnegated: str, keywords: list[str]) -> str:
+    """Whether a keyword occurs, its words as prefixes of successive words, with no negation in the five words before."""
     some = "|".join("[a-z0-9]* ".join(k.split()) for k in keywords)
-    words = "array(" + ", ".join(strings(k.split()) for k in keywords) + ")"
-    here = "forall(sequence(0, size(kw) - 1), j -> startswith(get(t, i + j), kw[j]))"
-    negated = f"arrays_overlap(slice(t, greatest(i - 4, 1), least(5, i)), {strings(NEGATIONS)})"
-    walk = f"exists({words}, kw -> size(t) >= size(kw) AND exists(sequence(0, size(t) - size(kw)), i -> {here} AND NOT {negated}))"
-    return f"({search} RLIKE {quoted(f'(?:^| )(?:{some})')} AND transform(array({toks}), t -> {walk})[0])"
+    return f"{unnegated} RLIKE {quoted(f'(?:^| )(?:{some})')}"
 
 
 def first_of_each(values: str, key: str) -> str:

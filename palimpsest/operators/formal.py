@@ -22,8 +22,7 @@ def redaction_labels(text: str) -> str:
     return f"array_sort(array_distinct(transform({found}, x -> IF(x IN ('im', 'imie nazwisko'), 'person', x))))"
 
 
-def signed(text: str) -> str:
-    folded = T.fold(text)
+def signed(folded: str) -> str:
     return f"(NOT {folded} RLIKE {T.pattern(C.UNSIGNED)} AND {folded} RLIKE {T.pattern(C.SIGNED)})"
 
 
@@ -34,9 +33,9 @@ def type_scores(search: str) -> str:
 
 def extract(docs: DataFrame, text: str = "text", own_type: str = "CAST(NULL AS STRING)") -> DataFrame:
     """Add document_type, confidence and the formal fields of each text (null text: as empty)."""
-    rows = docs.withColumn("_text", F.expr(f"coalesce({text}, '')")).withColumn("_search", F.expr(T.searchable("_text"))).withColumn("_tokens", F.expr(T.tokens("_search")))
-    rows = rows.withColumns({name: F.expr(T.mentions("_search", "_tokens", C.listed(words))) for name, words in C.SECTIONS.items()})
-    rows = rows.withColumns({"_dates": F.expr(date_candidates("_text")), "redaction_labels": F.expr(redaction_labels("_text")), "has_signature": F.expr(signed("_text")), "_best": F.expr(type_scores("_search"))})
+    rows = docs.withColumn("_text", F.expr(f"coalesce({text}, '')")).withColumn("_folded", F.expr(T.fold("_text"))).withColumn("_search", F.expr(T.searchable_of("_folded"))).withColumn("_plain", F.expr(T.unnegated("_search")))
+    rows = rows.withColumns({name: F.expr(T.mentions("_plain", C.listed(words))) for name, words in C.SECTIONS.items()})
+    rows = rows.withColumns({"_dates": F.expr(date_candidates("_text")), "redaction_labels": F.expr(redaction_labels("_text")), "has_signature": F.expr(signed("_folded")), "_best": F.expr(type_scores("_search"))})
     return rows.withColumns({
         "has_text": F.expr(f"NOT {T.blank('_text')}"),
         "has_date": F.expr("size(_dates) > 0"),
@@ -44,4 +43,4 @@ def extract(docs: DataFrame, text: str = "text", own_type: str = "CAST(NULL AS S
         "detected_sections": F.expr(f"array_sort(filter(array({', '.join(f'IF({s}, {T.quoted(s)}, NULL)' for s in C.SECTIONS)}), x -> x IS NOT NULL))"),
         "document_type": F.expr(f"IF(_best.score > 0, _best.type, IF({own_type} IS NOT NULL AND {own_type} <> 'unknown', {own_type}, 'unknown'))"),
         "confidence": F.expr(f"CASE WHEN _best.score > 0 THEN bround(least(_best.score / _best.of, 1D), 4) WHEN {own_type} IS NOT NULL AND {own_type} <> 'unknown' THEN 0.5D ELSE 0D END"),
-    }).drop("_text", "_search", "_tokens", "_dates", "_best")
+    }).drop("_text", "_folded", "_search", "_plain", "_dates", "_best")

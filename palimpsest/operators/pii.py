@@ -37,19 +37,20 @@ def personal_data(pages: DataFrame, words: str = "words", entities: str | None =
     """
     page = f"array_join(transform({words}, w -> w.text), ' ')"
     labelled = "named_struct('text', w.text, 'x', w.x, 'y', w.y, 'width', w.width, 'height', w.height, 'label', {})"
-    rows = pages.withColumn("_fragments", F.expr(date_fragments(page)))
-    rows = rows.withColumn("_own", F.expr(f"filter(transform({words}, w -> {labelled.format(own_label('w.text'))}), w -> w.label IS NOT NULL)"))
+    own = f"filter(transform({words}, w -> {labelled.format(own_label('w.text'))}), w -> w.label IS NOT NULL)"
 
     def fresh(found: str, so_far: str) -> str:
         """Found words, first of each place, without places already taken."""
         return T.first_of_each(f"filter({found}, f -> NOT exists({so_far}, o -> o.x = f.x AND o.y = f.y))", "concat_ws(',', x.x, x.y)")
 
-    dates = f"transform(filter({words}, w -> array_contains(_fragments, lower(w.text))), w -> {labelled.format(T.quoted(C.LABEL.format('DATA')))})"
-    rows = rows.withColumn("found", F.expr(f"concat(_own, {fresh(dates, '_own')})"))
+    # Fragment by fragment, in the order of the pages' dates. What lambdas share is bound once by T.bound: a column
+    # of its own would be put in its place inside the lambda, to run for every word.
+    dates = f"flatten(transform(fragments, d -> transform(filter({words}, w -> lower(w.text) = d), w -> {labelled.format(T.quoted(C.LABEL.format('DATA')))})))"
+    found = T.bound("own", own, T.bound("fragments", date_fragments(page), f"concat(own, {fresh(dates, 'own')})"))
     if entities:
         named = f"flatten(transform({entities}, e -> transform(filter({words}, w -> array_contains(split(lower(e.fragment), ' '), lower(w.text))), w -> {labelled.format('e.label')})))"
-        rows = rows.withColumn("found", F.expr(f"concat(found, {fresh(named, 'found')})"))
-    return rows.drop("_fragments", "_own")
+        found = T.bound("so_far", found, f"concat(so_far, {fresh(named, 'so_far')})")
+    return pages.withColumn("found", F.expr(found))
 
 
 def mask_boxes(found: str, width: str, height: str, pad: int = 8) -> Column:

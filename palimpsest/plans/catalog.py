@@ -29,7 +29,19 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+#: Tables below this many bytes a core are dealt out anew.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few bytes stands in one file and row group, which one task would read and work on alone."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL else df
 
 
 def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +106,7 @@ D_ISSUES = (
 
 @query(f"{D_TEXT} SELECT doc_id, md5(folded) AS folded_md5, md5(search) AS search_md5, len(tok)::BIGINT AS n_tokens FROM t")
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stamped(spark, sf_dir).withColumn("folded", F.expr(T.fold("text"))).withColumn("search", F.expr(T.searchable("text")))
+    rows = stamped(spark, sf_dir).withColumn("folded", F.expr(T.fold("text"))).withColumn("search", F.expr(T.searchable_of("folded")))
     return rows.select("doc_id", F.md5("folded").alias("folded_md5"), F.md5("search").alias("search_md5"), F.expr(f"CAST(size({T.tokens('search')}) AS BIGINT)").alias("n_tokens"))
 
 
@@ -109,7 +121,7 @@ D_LABELS = f"list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?
 
 @query(f"{D_TEXT} SELECT doc_id, array_to_string({D_LABELS}, ',') AS labels, {D_SIGNED} AS has_signature FROM t")
 def labels_and_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stamped(spark, sf_dir).select("doc_id", F.expr(f"array_join({formal.redaction_labels('text')}, ',')").alias("labels"), F.expr(formal.signed("text")).alias("has_signature"))
+    return stamped(spark, sf_dir).select("doc_id", F.expr(f"array_join({formal.redaction_labels('text')}, ',')").alias("labels"), F.expr(formal.signed(T.fold("text"))).alias("has_signature"))
 
 
 @query(f"{D_TEXT}, {D_HIT} SELECT t.doc_id, {D_SECTIONS} FROM t LEFT JOIN hit ON t.doc_id = hit.doc_id")
@@ -135,7 +147,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{D_ISSUES} SELECT doc_id, ord::BIGINT AS ord, field_name, severity, message FROM issues")
 def rule_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _reports(spark, sf_dir).select("doc_id", F.explode("issues").alias("i"))
+    each = T.each(_reports(spark, sf_dir), "issues", "i")
     return each.select("doc_id", F.col("i.ord").cast("long").alias("ord"), "i.field_name", "i.severity", "i.message")
 
 
@@ -152,7 +164,7 @@ def completeness_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{D_ISSUES} SELECT severity, field_name, count(*)::BIGINT AS n FROM issues GROUP BY ALL")
 def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reports(spark, sf_dir).select(F.explode("issues").alias("i")).groupBy("i.severity", "i.field_name").agg(F.count("*").alias("n"))
+    return T.each(_reports(spark, sf_dir), "issues", "i").groupBy("i.severity", "i.field_name").agg(F.count("*").alias("n"))
 
 
 D_PAGE_DATES = f"list_distinct(flatten(list_transform(list_concat(regexp_extract_all(text, '{C.PAGE_DATE}'), regexp_extract_all(text, '(?i){C.PAGE_DATE_PL}')), lambda d: string_split(lower(d), ' '))))"
@@ -167,19 +179,19 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{D_HITS} SELECT conv_id, turn, idx * 120 AS x, word, concat('[UTAJNIONO: ', kind, ']') AS label FROM hits WHERE kind IS NOT NULL")
 def personal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _found(spark, sf_dir).select("conv_id", "turn", F.explode("found").alias("w"))
+    each = T.each(_found(spark, sf_dir), "found", "w")
     return each.select("conv_id", "turn", F.col("w.x").cast("long").alias("x"), F.col("w.text").alias("word"), "w.label")
 
 
 @query(f"{D_HITS} SELECT conv_id, count(*)::BIGINT AS entities, count(DISTINCT kind)::BIGINT AS kinds FROM hits WHERE kind IS NOT NULL GROUP BY conv_id")
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _found(spark, sf_dir).select("conv_id", F.explode("found").alias("w"))
+    each = T.each(_found(spark, sf_dir), "found", "w")
     return each.groupBy("conv_id").agg(F.count("*").alias("entities"), F.count_distinct("w.label").alias("kinds"))
 
 
 @query(f"{D_HITS} SELECT conv_id, turn, greatest(0, idx * 120 - 8)::BIGINT AS l, 0::BIGINT AS t, least(2000, idx * 120 + 108)::BIGINT AS r, 28::BIGINT AS b FROM hits WHERE kind IS NOT NULL")
 def mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = _found(spark, sf_dir).select("conv_id", "turn", F.explode(pii.mask_boxes("found", "2000", "3000")).alias("m"))
+    boxes = T.each(_found(spark, sf_dir).withColumn("boxes", pii.mask_boxes("found", "2000", "3000")), "boxes", "m")
     return boxes.select("conv_id", "turn", *[F.col(f"m.{c}").cast("long").alias(c[0]) for c in ("left", "top", "right", "bottom")])
 
 
