@@ -1,18 +1,22 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with SQL functions alone.
 
-A text's paragraphs are its lines in pieces of ``PIECE`` words; its first ``HEAD`` words also count one by one, so short
-texts have something to share. Each distinct paragraph has a 64-bit digest: 44 bits of hash and a 20-bit check over
-them. The sketch puts a digest into one cell of each of three tables; a cell holds a count and the exclusive or of its
-digests. Two versions' sketches subtract cell by cell, what they share vanishes, and peeling cells with a single digest
-recovers exactly those in which the versions differ. If that fails, the comparison is made again larger: the digests
-are dealt by ranges into as many groups as their number asks for, each with its own sketch, and a group that still
-fails gets larger tables. Likeness is the Jaccard coefficient of the paragraph sets, from their sizes and the recovered digests.
-
-A table's cells are runs of its entries in the order of the bits that place them, so one sort and one pass fill it.
-Work grows with the length of a text, needs neither Python nor a shuffle, and stays in the row.
+A text's paragraphs are its lines in pieces of up to ``PIECE`` words; texts of fewer than 8 pieces of that size have
+smaller ones (8, 4, 2 or 1 words), so that short texts have several too. Each distinct paragraph has a 64-bit digest:
+44 bits of hash and a 20-bit check over them. A sketch puts a digest into one cell of each of three tables; a cell
+holds a count and the exclusive or of its digests. Each version builds its sketch alone; two versions' sketches
+subtract cell by cell, what they share vanishes, and peeling cells with a single digest recovers exactly those in which
+the versions differ. The fingerprint is the sketch with ``CELLS`` cells a table. Where it is too full or gets stuck, the
+comparison is made again larger: both versions sketch themselves anew with tables that can hold all their digests, and
+with twice as many cells at every further try. Likeness is the Jaccard coefficient of the paragraph sets, from their
+sizes and the number of recovered digests. Only if ``TRIES`` sizes fail (each fails for a few pairs in a thousand at
+most, independently) are the digests themselves compared, so the likeness is always that of the sets.
+
+Sketches are kept sparse, as their cells that hold something in order, so work grows with the length of a text. It
+needs neither Python nor a shuffle, and stays in the row.
 
 Defined cases: null text counts as empty; two texts without paragraphs are alike (1.0); equal texts have equal
-fingerprints; repeated paragraphs count once.
+fingerprints; repeated paragraphs count once; rows that share an id follow one another in the order of their texts, null
+ids come first; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,103 +28,87 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import parallel
 
-PIECE, HEAD = 16, 16
+PIECE = 16
 TABLES = 3
-#: Cells of each table: of the fingerprint, then of groups that fail.
-SIZES = (16, 64, 256, 4096)
-#: Leading bits of a digest that no cell of a level depends on.
-SKIP = (18, 24, 30, 20)
-#: The count of a mark among entries; less than any entry's, so marks come first among equals.
-MARK = -9
-#: Digests of both texts in a group.
-GROUP = 20
-ROUNDS = 24
+#: Cells of each table of the fingerprint, a power of two; above so many full cells of all, a difference is too large.
+CELLS, FULL = 16, 40
+TRIES, ROUNDS = 4, 32
+CELL = "STRUCT<c: INT, n: INT, k: BIGINT>"
 
 
-def _key(hashed: str) -> str:
-    return f"transform(array(shiftrightunsigned({hashed}, 20)), d -> shiftleft(d, 20) | (xxhash64(d) & 1048575))[0]"
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def digests(text: str) -> str:
     """SQL for the distinct paragraph digests of a text expression."""
     spaced = f"regexp_replace({text}, '[^\\\\S\\n]+', ' ')"
-    words = "array_remove(split(line, ' '), '')"
-    pieces = f"transform(filter(transform(split({spaced}, '\\n'), line -> {words}), ws -> size(ws) > 0), ws -> transform(sequence(0, size(ws) - 1, {PIECE}), i -> {_key(f"xxhash64(array_join(slice(ws, i + 1, {PIECE}), ' '))")}))"
-    head = f"transform(filter(slice(split({text}, '\\\\s+', {HEAD + 2}), 1, {HEAD}), w -> w != ''), w -> {_key("xxhash64('word', w)")})"
-    return f"array_distinct(concat(flatten({pieces}), {head}))"
-
-
-def _bits(size: int) -> int:
-    return size.bit_length() - 1
-
-
-def _turn(level: int, table: int | str) -> str:
-    """How many leading bits of a digest come before those that give its cell in a table."""
-    return f"({SKIP[level]} + {_bits(SIZES[level])} * {table})"
-
-
-def _sketch_table(signed: str, level: int, table: int) -> str:
-    """SQL for one table: rotated entries sort into the order of cells, with a mark where each cell but the first begins."""
-    size, bits, turn = SIZES[level], _bits(SIZES[level]), SKIP[level] + _bits(SIZES[level]) * table
-    at = range(1 - size // 2, size // 2)
-    marks = f"array({', '.join(f"named_struct('k', {i << (64 - bits)}L, 'n', {MARK})" for i in at)})" if size <= 64 else f"transform(sequence({at[0]}, {at[-1]}), i -> named_struct('k', shiftleft(CAST(i AS BIGINT), {64 - bits}), 'n', {MARK}))"
-    turned = f"transform({signed}, e -> named_struct('k', shiftleft(e.k, {turn}) | shiftrightunsigned(e.k, {64 - turn}), 'n', e.n))"
-    cell = f"concat(s.done, array(named_struct('n', s.n, 'k', shiftrightunsigned(s.k, {turn}) | shiftleft(s.k, {64 - turn}))))"
-    none = "CAST(array() AS ARRAY<STRUCT<n: INT, k: BIGINT>>)"
-    step = f"IF(e.n = {MARK}, named_struct('done', {cell}, 'n', 0, 'k', 0L), named_struct('done', s.done, 'n', s.n + e.n, 'k', s.k ^ e.k))"
-    return f"aggregate(sort_array(concat({turned}, {marks})), named_struct('done', {none}, 'n', 0, 'k', 0L), (s, e) -> {step}, s -> {cell})"
+    lines = f"filter(transform(split({spaced}, '\\n'), line -> array_remove(split(line, ' '), '')), ws -> size(ws) > 0)"
+    sizes = " ".join(f"WHEN n < {8 * size} THEN {size // 2}" for size in (2, 4, 8, 16) if size <= PIECE)
+    size = _let("n", "aggregate(ls, 0, (t, ws) -> t + size(ws))", f"CASE {sizes} ELSE {PIECE} END")
+    key = "transform(array(shiftrightunsigned(xxhash64(slice(ws, i + 1, p)), 20)), d -> shiftleft(d, 20) | (xxhash64(d) & 1048575))[0]"
+    pieces = f"flatten(transform(ls, ws -> transform(sequence(0, size(ws) - 1, p), i -> {key})))"
+    return f"array_distinct({_let('ls', lines, _let('p', size, pieces))})"
 
 
-def sketch(signed: str, level: int = 0) -> str:
-    """SQL for the cells of an array of (n, k): counts and exclusive ors. Subtracted entries have n = -1."""
-    return f"concat({', '.join(_sketch_table(signed, level, table) for table in range(TABLES))})"
+def merged(cells: str) -> str:
+    """SQL that adds up cells of the same place: counts add, digests by exclusive or; cells left empty go."""
+    end = "coalesce(get(at, j + 1), size(es))"
+    total = "aggregate(slice(es, p + 1, {end} - p), named_struct('c', es[p].c, 'n', 0, 'k', 0L), (s, e) -> named_struct('c', s.c, 'n', s.n + e.n, 'k', s.k ^ e.k))".replace("{end}", end)
+    each = f"transform(at, (p, j) -> IF({end} = p + 1, es[p], {total}))"
+    first = "filter(sequence(0, size(es) - 1), i -> i = 0 OR es[i].c <> es[i - 1].c)"
+    one = f"IF(size(es) = 0, es, {_let('at', first, f'filter({each}, e -> e.n <> 0 OR e.k <> 0L)')})"
+    return _let("es", f"sort_array({cells})", one)
 
 
-def entries(keys: str, sign: int = 1) -> str:
-    return f"transform({keys}, k -> named_struct('n', {sign}, 'k', k))"
+def sketch(keys: str, size: str | int = CELLS, sign: str | int = 1) -> str:
+    """SQL for the full cells of a sketch of digests, ``size`` cells a table; place c is cell c % size of table c / size."""
+    place = lambda t: f"CAST((xxhash64(k, {t}, {size}) & ({size} - 1)) + {t} * {size} AS INT)"
+    cells = ", ".join(f"named_struct('c', {place(t)}, 'n', {sign}, 'k', k)" for t in range(TABLES))
+    return merged(f"flatten(transform({keys}, k -> array({cells})))")
 
 
 def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k))"
+    return merged(f"concat({a}, transform({b}, e -> named_struct('c', e.c, 'n', -e.n, 'k', e.k)))")
 
 
-def peel(cells: str, level: int = 0) -> str:
+def peel(cells: str, size: str | int = CELLS) -> str:
     """SQL for the number of digests recovered from a sketch; null if peeling gets stuck."""
-    size, bits = SIZES[level], _bits(SIZES[level])
     check = "(xxhash64(shiftrightunsigned(c.k, 20)) & 1048575) = (c.k & 1048575)"
-    place = f"shiftright(shiftleft(c.k, {_turn(level, f'shiftright(i, {bits})')}), {64 - bits}) + {size // 2} = (i & {size - 1})"
-    single = f"array_distinct(filter(s.cells, (c, i) -> abs(c.n) = 1 AND {check} AND {place}))"
-    step = f"transform(array({single}), pure -> IF(size(pure) = 0, named_struct('cells', s.cells, 'found', s.found, 'go', false), named_struct('cells', {subtract('s.cells', sketch('pure', level))}, 'found', s.found + size(pure), 'go', true)))[0]"
-    done = "IF(forall(s.cells, c -> c.n = 0 AND c.k = 0L), s.found, CAST(NULL AS INT))"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', 0, 'go', true), (s, r) -> IF(s.go, {step}, s), s -> {done})"
+    single = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 AND {check}), c -> named_struct('n', c.n, 'k', c.k)))"
+    place = lambda t: f"CAST((xxhash64(e.k, {t}, {size}) & ({size} - 1)) + {t} * {size} AS INT)"
+    gone = ", ".join(f"named_struct('c', {place(t)}, 'n', -e.n, 'k', e.k)" for t in range(TABLES))
+    rest = merged(f"concat(s.cells, flatten(transform(pure, e -> array({gone}))))")
+    step = _let("pure", single, f"IF(size(pure) = 0, named_struct('cells', s.cells, 'found', s.found, 'go', false), named_struct('cells', {rest}, 'found', s.found + size(pure), 'go', true))")
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', 0, 'go', true), (s, r) -> IF(s.go AND size(s.cells) > 0, {step}, s), s -> IF(size(s.cells) = 0, s.found, CAST(NULL AS INT)))"
 
 
 def differing(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
-    """SQL for how many digests two texts differ in, from their sketches; larger sketches where those do not peel."""
-    both = f"sort_array(concat(transform({a}, k -> named_struct('k', k, 'n', 1)), transform({b}, k -> named_struct('k', k, 'n', -1))))"
-    ladder = ", ".join(peel(sketch("es", level), level) for level in range(len(SIZES)))
-    bound = lambda j: f"({j} + IF(coalesce(get(every, {j} - 1).k = get(every, {j}).k, false), 1, 0))"
-    own = f"slice(every, {bound('j')} + 1, {bound(f'(j + {GROUP})')} - {bound('j')})"
-    one = f"transform(array({own}), es -> IF(size(es) = 0, 0, coalesce({ladder})))[0]"
-    larger = f"transform(array({both}), every -> aggregate(sequence(0, greatest(size(every) - 1, 0), {GROUP}), 0, (total, j) -> total + {one}))[0]"
-    return f"coalesce({peel(subtract(sketch_a, sketch_b))}, {larger})"
+    """SQL for how many digests two texts differ in, from their sketches; from larger ones where those do not peel."""
+    small = _let("less", subtract(sketch_a, sketch_b), f"IF(size(less) > {FULL}, CAST(NULL AS INT), {peel('less')})")
+    # The least power of two of at least half of all digests and a few more, twice that at the next try.
+    size = f"CAST(shiftleft(1, CAST(ceil(log2((size({a}) + size({b})) / 2 + 8)) AS INT) + try - 1) AS INT)"
+    large = _let("m", size, peel(subtract(sketch(a, "m"), sketch(b, "m")), "m"))
+    tries = f"aggregate(sequence(1, {TRIES}), CAST(NULL AS INT), (d, try) -> coalesce(d, {large}))"
+    plain = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
+    return f"coalesce({small}, {tries}, {plain})"
 
 
 def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
     """The Jaccard coefficient of two texts' paragraphs; a, b: their digests."""
     size = f"(size({a}) + size({b}))"
-    return F.expr(f"CASE WHEN {size} = 0 THEN 1D ELSE transform(array(coalesce({differing(a, b, sketch_a, sketch_b)}, {size})), d -> ({size} - d) / CAST({size} + d AS DOUBLE))[0] END")
+    return F.expr(f"CASE WHEN {size} = 0 THEN 1D ELSE {_let('d', differing(a, b, sketch_a, sketch_b), f'({size} - d) / CAST({size} + d AS DOUBLE)')} END")
 
 
 def written(cells: str) -> Column:
-    """A sketch as text: count and exclusive or of each cell in hexadecimal, nothing for an empty cell."""
-    return F.expr(f"array_join(transform({cells}, c -> IF(c.n = 0, '', concat(hex(c.n), ':', hex(c.k)))), ',')")
+    """A sketch as text: place, count and exclusive or of each full cell in hexadecimal."""
+    return F.expr(f"array_join(transform({cells}, e -> concat(hex(e.c), ':', hex(e.n), ':', hex(e.k))), ',')")
 
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """Add (prefix)keys, the digests, and (prefix)cells, the sketch of each row's text."""
     keyed = df.withColumn(f"{prefix}keys", F.expr(digests(f"coalesce({text_col}, '')")))
-    return keyed.withColumn(f"{prefix}cells", F.expr(sketch(entries(f"{prefix}keys"))))
+    return keyed.withColumn(f"{prefix}cells", F.expr(sketch(f"{prefix}keys")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +166,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = follows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.expr("CAST(n_chars DIV 4 AS INT)"))
     edited = size.withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars AS INT) - cut), substring(next_text, 1, cut))"))
     keyed = edited.withColumn("edited_keys", F.expr(digests("edited")))
-    prints = keyed.withColumns({f"{p}cells": F.expr(sketch(entries(f"{p}keys"))) for p in ("", "edited_", "next_")})
+    prints = keyed.withColumns({f"{p}cells": F.expr(sketch(f"{p}keys")) for p in ("", "edited_", "next_")})
     return prints.select(
         "doc_id",
         "n_chars",

@@ -160,8 +160,9 @@ def test_nearest_against_brute_force(spark):
 
 def paragraphs(t):
     lines = [[w for w in re.split(r"[ \t\n\x0b\f\r]+", line) if w] for line in t.split("\n")]
-    head = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t, maxsplit=17)[:16] if w]
-    return {" ".join(w[i : i + 16]) for w in lines for i in range(0, len(w), 16)} | {("word", w) for w in head}
+    n = sum(map(len, lines))
+    size = 1 if n < 16 else 2 if n < 32 else 4 if n < 64 else 8 if n < 128 else 16
+    return {tuple(w[i : i + size]) for w in lines for i in range(0, len(w), size)}
 
 
 def test_fingerprints_against_sets(spark):
