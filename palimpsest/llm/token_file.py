@@ -2,10 +2,11 @@
 
 A block holds up to ``BLOCK_IDS`` ids and starts from empty models, so any block decodes alone. Each id is coded in one
 arithmetic step from a mixture of three predictors: the id that followed the last two ids (order 2), the one that
-followed the last id (order 1), and adaptive frequencies of ids in classes of 256 (order 0). The weight of the first
-two follows how often predictions of the same confidence have held so far in the block. The mixture's cumulative
-distribution has a closed form (two steps on top of the order-0 distribution), so the decoder inverts it directly.
-Blocks do not depend on each other, and numpy codes all blocks of a frame in lockstep, one lane for each.
+followed the last id (order 1), and adaptive frequencies of ids in classes of 256 (order 0). Predictions change with
+every id; how much the first two weigh, which follows how often predictions of the same trust have held so far in the
+block, and the frequencies are fixed anew after 16, 32, 64, ... and then every ``RENEW`` ids. So the encoder works out
+the intervals of all ids in between at once, and the decoder finds a class by one look into its slots. Blocks do not
+depend on each other, and numpy codes all blocks of a frame in lockstep, one lane for each.
 
 A frame is a row of the file: an index of whole documents, and packs of blocks with their sizes and CRC-32s. Files are
 Parquet, written through Spark's commit protocol, so lost or repeated tasks leave no partial files. A document of any
@@ -27,16 +28,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import Encoder, merges_of
+from palimpsest.llm.bpe import Encoder, byte_alphabet, merges_of
 from palimpsest.llm.common import column, parallel, stored, text_or_empty
 
 #: Longer blocks pack better, more blocks in a frame code faster.
-BLOCK_IDS = 4096
-FRAME_IDS = BLOCK_IDS * 1024
-MAGIC = b"PTF1"
-TABLE_BITS = 10
-RENEW = 64
-STEP, MOST = 24, 1 << 13
+BLOCK_IDS = 2048
+FRAME_IDS = BLOCK_IDS * 2048
+MAGIC = b"PTF2"
+#: Entries of a block's table for each order, and slots of the order-0 distribution, as powers of two.
+TABLE_BITS, SLOT_BITS = 10, 12
+#: Steps after which the weights are fixed anew: soon at first, then every ``RENEW``.
+RENEW = 256
+#: Weight of an id among the counts of classes, which are halved above ``MOST``.
+STEP, MOST = 24, 1 << 15
+#: Hits and trials that each trust starts with.
+PRIOR = np.array([[2, 20], [8, 20], [13, 20], [17, 20]])
 FRAME_SCHEMA = "part int, frame long, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, crcs array<long>, data array<binary>"
 
 
@@ -44,205 +50,208 @@ class DamagedFile(ValueError):
     """A frame or block fails its checks."""
 
 
-#: Weight, in 64ths of the order-0 total, of a prediction that has held with probability k / 256.
-ODDS = np.clip(64 * (np.arange(256) + 0.5) / (255.5 - np.arange(256)), 1, 64 * 48).astype(np.int64)
-
-
 class Lanes:
-    """The models of all blocks of a frame, side by side."""
+    """The models of all blocks of a frame, side by side. Arrays of both predictions hold order 1 first, then order 2."""
 
     def __init__(self, lanes: int):
         self.n = lanes
         row = np.arange(lanes)
-        self.base, self.quad, self.r256, self.r257 = row << TABLE_BITS, row * 4, row * 256, row * 257
-        self.at = [self.base.copy(), self.base.copy()]
-        self.tables = [np.zeros(lanes << TABLE_BITS, np.int32) for _ in range(2)]  # predicted id and trust, 0 to 3
-        self.holds = [np.tile(np.array([400, 1200, 2400, 3400], np.int32), lanes) for _ in range(2)]  # 4096ths, by trust
-        self.freq = np.ones((lanes, 256), np.int32)
-        self.flat = self.freq.reshape(-1)
-        self.last = np.zeros(lanes, np.int64)
-        self.renew()
-
-    def renew(self) -> None:
-        """Fix the order-0 distribution for the next steps; counts go on underneath."""
+        both = np.arange(2 * lanes)
+        self.base = (both << TABLE_BITS).astype(np.uint32)
+        self.quad, self.classes, self.slots = (both << 2).astype(np.int32), (row << 8).astype(np.int32), (row << SLOT_BITS).astype(np.int32)
+        self.table = np.zeros(2 * lanes << TABLE_BITS, np.int32)  # predicted id and trust, 0 to 3
+        self.freq = np.ones((lanes, 256), np.int64)
+        self.hits, self.tried = (np.tile(PRIOR[:, k], 2 * lanes) for k in (0, 1))
+        self._fix()
+
+    def _fix(self) -> None:
+        """Fix the order-0 distribution (2 ** SLOT_BITS slots) and the weights of both predictions for the next steps."""
         full = self.freq.sum(1) > MOST
-        if full.any():
-            self.freq[full] = (self.freq[full] >> 1) | 1
-        self.now = self.freq.reshape(-1).copy()
-        upto = np.zeros((self.n, 257), np.int32)
-        np.cumsum(self.freq, 1, out=upto[:, 1:])
-        self.upto = upto.reshape(-1)
-        self.total0 = upto[:, 256].astype(np.int64) << 8
-
-    def predict(self) -> None:
-        self.seen, self.p, self.slots, self.q, self.w = [], [], [], [], []
-        for k in (0, 1):
-            entry = self.tables[k].take(self.at[k])
-            slot = self.quad + (entry & 3)
-            q = self.holds[k].take(slot)
-            self.seen.append(entry)
-            self.p.append(entry >> 2)
-            self.slots.append(slot)
-            self.q.append(q)
-            self.w.append(self.total0 * ODDS.take(q >> 4) >> 6)
-        self.total = self.total0 + self.w[0] + self.w[1]
-
-    def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of an id in the order-0 distribution."""
-        high = ids >> 8
-        width = self.now.take(self.r256 + high)
-        return (self.upto.take(self.r257 + high) << 8) + width * (ids & 255), width
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, width = self.order0(ids)
-        for p, w in zip(self.p, self.w, strict=True):
-            low = low + w * (p < ids)
-            width = width + w * (p == ids)
-        return low, width
-
-    def id_at(self, v: np.ndarray) -> np.ndarray:
-        """The id whose interval holds v."""
-        swap = self.p[0] > self.p[1]
-        a, b = np.minimum(*self.p), np.maximum(*self.p)
-        wa, wb = np.where(swap, self.w[1], self.w[0]), np.where(swap, self.w[0], self.w[1])
-        la, na = self.order0(a)
-        lb, nb = self.order0(b)
-        lb, nb = lb + wa, nb + wb
-        na = na + wa + wb * (a == b)
-        is_a = (v >= la) & (v < la + na)
-        past_b = v >= lb + nb
-        ids = np.where(is_a, a, b).astype(np.int64)
-        left = np.flatnonzero(~is_a & ((v < lb) | past_b))
-        if len(left):
-            u = v[left]
-            u = u - wa[left] * (u >= la[left] + na[left]) - wb[left] * past_b[left]
-            want, base = u >> 8, self.r257[left]
-            low = np.zeros(len(left), np.int64)
-            for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                low += step * (self.upto.take(base + low + step) <= want)
-            start = self.upto.take(base + low).astype(np.int64) << 8
-            ids[left] = (low << 8) + (u - start) // self.now.take(self.r256[left] + low)
-        return ids
-
-    def learn(self, ids: np.ndarray, step: int) -> None:
-        for k in (0, 1):
-            right = self.p[k] == ids
-            self.holds[k][self.slots[k]] = self.q[k] + ((right * np.int32(4095)) - self.q[k] >> 4)
-            entry = self.seen[k]
-            trust = entry & 3
-            wrong = np.where(trust == 0, ids << 2, entry - trust + (trust >> 1))
-            self.tables[k][self.at[k]] = np.where(right, entry + (trust < 3), wrong)
-        self.flat[self.r256 + (ids >> 8)] += STEP
-        mixed = ids * 0x9E3779B1
-        self.at[0] = self.base + (mixed >> 12 & (1 << TABLE_BITS) - 1)
-        self.at[1] = self.base + (mixed + self.last * 0x85EBCA77 >> 15 & (1 << TABLE_BITS) - 1)
-        self.last = ids
-        if step % RENEW == RENEW - 1:
-            self.renew()
-
-
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
-SHIFT, WORD = np.uint64(16), np.uint64(48)
-
-
-def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """ids: a row for each block; lengths fall from row to row, so the blocks still running are the first rows."""
-    n, longest = ids.shape
-    out, at = np.zeros((n, 3 * longest + 8), ">u2"), np.zeros(n, np.int64)
-    flat, width = out.reshape(-1), out.shape[1]
+        self.freq[full] = (self.freq[full] >> 1) | 1
+        width = 1 + self.freq * ((1 << SLOT_BITS) - 256) // self.freq.sum(1, keepdims=True)
+        width[np.arange(self.n), width.argmax(1)] += (1 << SLOT_BITS) - width.sum(1)
+        self.upto = (np.cumsum(width, 1) - width).astype(np.int32).reshape(-1)
+        self.width = width.astype(np.int32).reshape(-1)
+        odds = (self.hits << (SLOT_BITS + 8)) // (self.tried - self.hits)
+        self.weight = np.clip(odds, 1 << SLOT_BITS, 48 << (SLOT_BITS + 8)).astype(np.int32)
+
+    def learn(self, ids: np.ndarray, trust: np.ndarray, right: np.ndarray) -> None:
+        """Count what the steps since the last time have shown; a row of each array is a step."""
+        self.freq += STEP * np.bincount((self.classes + (ids >> 8)).reshape(-1), minlength=256 * self.n).reshape(self.n, 256)
+        at = (self.quad + trust).reshape(-1)
+        self.tried += np.bincount(at, minlength=8 * self.n)
+        self.hits += np.bincount(at[right.reshape(-1)], minlength=8 * self.n)
+        old = self.tried > 255
+        self.tried[old] >>= 1
+        self.hits[old] >>= 1
+        self.hits = np.minimum(self.hits, self.tried - 1)
+        self._fix()
+
+    def slot_classes(self) -> np.ndarray:
+        """The class of every slot of every lane."""
+        return np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), self.width)
+
+
+MASK = np.uint32((1 << TABLE_BITS) - 1)
+FIRST, SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+
+
+def contexts(ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places of the last id and of the last two in the tables of order 1 and 2, one after the other."""
+    mixed = ids.astype(np.uint32) * FIRST
+    return np.concatenate([mixed >> np.uint32(12) & MASK, (mixed + last.astype(np.uint32) * SECOND) >> np.uint32(15) & MASK], axis=-1)
+
+
+def chunks(steps: int) -> Iterator[tuple[int, int]]:
+    at, size = 0, 16
+    while at < steps:
+        yield at, min(at + size, steps)
+        at, size = at + size, min(max(size, at + size), RENEW)
+
+
+LOW_WORD, WORD, ONE = np.uint64((1 << 32) - 1), np.uint64(32), np.uint64(1)
+
+
+def narrowed(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lanes whose span is below a word, their settled words): shifts these out of low and span."""
+    go = (span <= LOW_WORD).nonzero()[0]
+    at, wide = low.take(go), span.take(go)
+    crossing = (at ^ (at + wide - ONE)) > LOW_WORD
+    if crossing.any():
+        wide[crossing] = (~at[crossing] + ONE) & LOW_WORD
+    low[go], span[go] = at << WORD, wide << WORD
+    return go, at >> WORD
+
+
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """ids: a row for each step, a column for each block."""
+    steps, n = ids.shape
     lanes = Lanes(n)
+    out, at, row = np.zeros(n * (steps + 4), ">u4"), np.zeros(n, np.int64), np.arange(n) * (steps + 4)
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    rows = np.arange(n) * width
-    ended = lengths.min() if n else 0
-    for step in range(longest):
-        x = ids[:, step]
-        lanes.predict()
-        start, size = lanes.interval(x)
-        unit = span // lanes.total.astype(np.uint64)
-        on = None if step < ended else lengths > step
-        new_low, new_span = low + start.astype(np.uint64) * unit, size.astype(np.uint64) * unit
-        if on is None:
-            low, span = new_low, new_span
-        else:
-            low, span = np.where(on, new_low, low), np.where(on, new_span, span)
-        while True:
-            settled = (low ^ (low + span)) < TOP
-            short = ~settled & (span <= BOTTOM)
-            go = np.flatnonzero(settled | short)
-            if not len(go):
-                break
-            cut = np.flatnonzero(short)
-            span[cut] = (~low[cut] + np.uint64(1)) & BOTTOM
-            flat[rows[go] + at[go]] = low[go] >> WORD
+    before = np.zeros((2, n), np.int32)
+    for first, end in chunks(steps):
+        x = ids[first:end].astype(np.int32, copy=False)
+        past = np.concatenate([before, x])
+        before = past[-2:]
+        place = contexts(past[1:-1], past[:-2]) + lanes.base
+        entry = np.empty((end - first, 2 * n), np.int32)
+        kept = np.concatenate([x, x], 1) << 2
+        for k in range(end - first):
+            e = lanes.table.take(place[k])
+            entry[k] = e
+            fresh = kept[k]
+            lanes.table.put(place[k], np.where((e ^ fresh) < 4, np.minimum(e + 1, e | 3), fresh), "wrap")
+        trust, right = entry & 3, (entry >> 2) == np.concatenate([x, x], 1)
+        weight = lanes.weight.take(lanes.quad + trust)
+        start, size, total = intervals(lanes, x, right, weight)
+        total, start, size = total.astype(np.uint64), start.astype(np.uint64), size.astype(np.uint64)
+        for k in range(end - first):
+            span //= total[k]
+            low += start[k] * span
+            span *= size[k]
+            go, words = narrowed(low, span)
+            out[row[go] + at[go]] = words
             at[go] += 1
-            low[go] <<= SHIFT
-            span[go] <<= SHIFT
-        lanes.learn(x, step)
-    for k in range(4):
-        flat[rows + at] = low >> WORD
+        lanes.learn(x, trust, right)
+    for _ in range(2):
+        out[row + at] = low >> WORD
         at += 1
-        low <<= SHIFT
-    return [out[i, :m].tobytes() for i, m in enumerate(at.tolist())]
+        low <<= WORD
+    return [out[i * (steps + 4) : i * (steps + 4) + m].tobytes() for i, m in enumerate(at.tolist())]
+
 
+def intervals(lanes: Lanes, x: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, total) of ids in the mixture: order 1's prediction, then order 2's, then the order-0 distribution.
 
-def decode_blocks(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
-    n, longest = len(blocks), int(lengths.max()) if len(blocks) else 0
-    width = max((len(b) for b in blocks), default=0) // 2 + 8
+    An id that a prediction names has that prediction's share; if both name it, both shares, which are neighbours.
+    """
+    n = lanes.n
+    one, two = weight[..., :n], weight[..., n:]
+    r1, r2 = right[..., :n], right[..., n:]
+    at = lanes.classes + (x >> 8)
+    each = lanes.width.take(at)
+    both = one + two
+    named = r1 | r2
+    size = np.where(named, one * r1 + two * r2, each)
+    start = np.where(named, one * ~r1, both + (lanes.upto.take(at) << 8) + (x & 255) * each)
+    return start, size, both + (1 << (SLOT_BITS + 8))
+
+
+def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
+    """The ids of blocks of ``steps`` ids each: a row for each step."""
+    n = len(blocks)
+    width = max((len(b) for b in blocks), default=0) // 4 + 4
     data = np.zeros((n, width), np.uint64)
     for i, b in enumerate(blocks):
-        data[i, : len(b) // 2] = np.frombuffer(b, ">u2")
-    flat, rows, at = data.reshape(-1), np.arange(n) * width, np.full(n, 4, np.int64)
-    code = np.zeros(n, np.uint64)
-    for k in range(4):
-        code = code << SHIFT | data[:, k]
+        data[i, : len(b) // 4] = np.frombuffer(b[: len(b) // 4 * 4], ">u4")
+    flat, at, last = data.reshape(-1), np.arange(n) * width + 2, (np.arange(n) + 1) * width - 1
+    code = data[:, 0] << WORD | data[:, 1]
     lanes = Lanes(n)
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    out = np.zeros((n, longest), np.int64)
-    ended = lengths.min() if n else 0
-    for step in range(longest):
-        lanes.predict()
-        unit = span // lanes.total.astype(np.uint64)
-        v = np.minimum((code - low) // unit, (lanes.total - 1).astype(np.uint64)).astype(np.int64)
-        x = lanes.id_at(v)
-        start, size = lanes.interval(x)
-        on = None if step < ended else lengths > step
-        new_low, new_span = low + start.astype(np.uint64) * unit, size.astype(np.uint64) * unit
-        if on is None:
-            low, span = new_low, new_span
-        else:
-            x = np.where(on, x, 0)
-            low, span = np.where(on, new_low, low), np.where(on, new_span, span)
-        out[:, step] = x
-        while True:
-            settled = (low ^ (low + span)) < TOP
-            short = ~settled & (span <= BOTTOM)
-            go = np.flatnonzero(settled | short)
-            if not len(go):
-                break
-            cut = np.flatnonzero(short)
-            span[cut] = (~low[cut] + np.uint64(1)) & BOTTOM
-            code[go] = code[go] << SHIFT | flat[rows[go] + np.minimum(at[go], width - 1)]
+    out = np.zeros((steps, n), np.int32)
+    x, twice = np.zeros(n, np.int32), np.zeros(2 * n, np.int32)
+    place, behind = np.zeros(2 * n, np.uint32), np.zeros(n, np.uint32)
+    for first, end in chunks(steps):
+        trust, right = np.empty((end - first, 2 * n), np.int32), np.empty((end - first, 2 * n), bool)
+        classes = lanes.slot_classes()
+        for k in range(end - first):
+            mixed = x.view(np.uint32) * FIRST
+            np.right_shift(mixed, np.uint32(12), out=place[:n])
+            mixed += behind
+            np.right_shift(mixed, np.uint32(15), out=place[n:])
+            behind = x.view(np.uint32) * SECOND
+            place &= MASK
+            place += lanes.base
+            e = lanes.table.take(place)
+            guess, sure = e >> 2, e & 3
+            weight = lanes.weight.take(lanes.quad + sure)
+            one, two = weight[:n], weight[n:]
+            both = one + two
+            span //= (both + np.int32(1 << (SLOT_BITS + 8))).astype(np.uint64)
+            v = ((code - low) // span).astype(np.int32)
+            rest = (v - both) & np.int32((1 << (SLOT_BITS + 8)) - 1)
+            c = classes.take(lanes.slots + (rest >> 8)).astype(np.int32)
+            spot = lanes.classes + c
+            each = lanes.width.take(spot)
+            into = rest - (lanes.upto.take(spot) << 8)
+            inside = (into.view(np.uint32) // each.view(np.uint32)).view(np.int32)
+            x = np.where(v < both, np.where(v < one, guess[:n], guess[n:]), (c << 8) + inside)
+            twice[:n] = twice[n:] = x
+            ok = guess == twice
+            r1, r2 = ok[:n], ok[n:]
+            named = r1 | r2
+            size = np.where(named, one * r1 + two * r2, each)
+            start = np.where(named, one * ~r1, both + rest - into + inside * each)
+            lanes.table.put(place, np.where(ok, np.minimum(e + 1, e | 3), twice << 2), "wrap")
+            low += start.astype(np.uint64) * span
+            span *= size.astype(np.uint64)
+            go, _ = narrowed(low, span)
+            code[go] = code[go] << WORD | flat[np.minimum(at[go], last[go])]
             at[go] += 1
-            low[go] <<= SHIFT
-            span[go] <<= SHIFT
-        lanes.learn(x, step)
+            out[first + k], trust[k], right[k] = x, sure, ok
+        lanes.learn(out[first:end], trust, right)
     return out
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """The blocks of a frame: magic, counts, then size, length and CRC-32 of each block, then the blocks."""
+    """The blocks of a frame: magic, counts, then size, length and CRC-32 of each block, then the blocks.
+
+    Blocks differ by one id at most; the shorter ones are coded with a zero at their end.
+    """
     if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError("ids above 65,535 do not fit this format")
     n = -(-len(ids) // BLOCK_IDS)
-    lengths = np.full(n, BLOCK_IDS, np.int64)
+    ends = np.arange(n + 1) * len(ids) // max(n, 1)
+    lengths = np.diff(ends)
+    blocks = []
     if n:
-        lengths[-1] = len(ids) - (n - 1) * BLOCK_IDS
-    whole = np.zeros(n * BLOCK_IDS, np.int64)
-    whole[: len(ids)] = ids
-    rows = whole.reshape(n, BLOCK_IDS)[:, : int(lengths.max()) if n else 0]
-    blocks = encode_blocks(rows, lengths) if n else []
+        whole = np.zeros((int(lengths.max()), n), np.int32)
+        for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):  # noqa: B905
+            whole[: b - a, i] = ids[a:b]
+        blocks = encode_blocks(whole)
     raw = ids.astype("<u4")
-    head = b"".join(struct.pack("<IHI", len(b), int(m), zlib.crc32(raw[i * BLOCK_IDS : i * BLOCK_IDS + int(m)].tobytes())) for i, (b, m) in enumerate(zip(blocks, lengths, strict=True)))
+    head = b"".join(struct.pack("<IHI", len(b), int(m), zlib.crc32(raw[e - m : e].tobytes())) for b, m, e in zip(blocks, lengths, ends[1:], strict=True))
     return MAGIC + struct.pack("<I", n) + head + b"".join(blocks)
 
 
@@ -251,6 +260,8 @@ def unpack(data: bytes) -> np.ndarray:
     if data[:4] != MAGIC or len(data) < 8:
         raise DamagedFile("not a frame")
     (n,) = struct.unpack_from("<I", data, 4)
+    if len(data) < 8 + 10 * n:
+        raise DamagedFile("the header is cut off")
     heads = [struct.unpack_from("<IHI", data, 8 + 10 * i) for i in range(n)]
     at, blocks = 8 + 10 * n, []
     for size, _, _ in heads:
@@ -261,7 +272,7 @@ def unpack(data: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint32)
     lengths = np.array([m for _, m, _ in heads], np.int64)
-    ids = decode_blocks(blocks, lengths)
+    ids = np.ascontiguousarray(decode_blocks(blocks, int(lengths.max())).T)
     flat = ids[np.arange(ids.shape[1]) < lengths[:, None]].astype("<u4")
     ends = np.cumsum(lengths)
     for (_, m, crc), end in zip(heads, ends.tolist(), strict=True):
@@ -279,16 +290,10 @@ def library_encoder(spec: bytes) -> Encoder:
         import tokenizers
 
         tk = tokenizers.Tokenizer.from_str(spec.decode())
-        tk.no_truncation()
-        tk.no_padding()
+        model, alphabet = tk.model, {b: c for c, b in byte_alphabet().items()}
 
         def ask(words: list[str]) -> list[list[int]]:
-            out: list[list[int]] = [[] for _ in words]
-            for i in range(0, len(words), 5000):
-                found = tk.encode(words[i : i + 5000], is_pretokenized=True, add_special_tokens=False)
-                for k, t in zip(found.word_ids, found.ids, strict=True):
-                    out[i + k].append(t)
-            return out
+            return [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(alphabet))] for w in words]
 
         _library.clear()
         _library[spec] = Encoder(merges_of(spec), ask)
