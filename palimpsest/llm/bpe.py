@@ -3,12 +3,13 @@
 Encoding walks each pre-token from left to right. For every prefix of a pre-token there is exactly one token that
 ends it in the prefix's own encoding: the one that is *compatible* with the last token of the prefix before it (no
 merge would cross the boundary between them). The transducer keeps that last token for the positions that a longer
-token can still start from; tokens that all of these positions share are stable and leave at once. The merge list
-bounds how far back positions can disagree (:meth:`Merges.lookahead`), so the window is constant, however long the
-input is. Decoding is a byte-to-text machine that holds at most three pending bytes.
+token can still start from; tokens that all of these positions share are stable. The merge list bounds how far back
+positions can disagree (:attr:`Merges.lookahead`): after that many bytes stable tokens leave, so the window is constant,
+however long the input is. Decoding is a byte-to-text machine that holds at most three pending bytes.
 
-Splitting into pre-tokens is vectorised over blocks of code points, and the outputs for short pre-tokens are kept in
-a bounded memo; both change the speed only.
+Splitting into pre-tokens is vectorised over blocks of code points, and the outputs for pre-tokens of up to
+``MEMO_CHARS`` code points are kept in a bounded memo, which is found by a hash and compared with the text itself; both
+change the speed only.
 
 Defined cases: a null text counts as the empty text (no ids); a text longer than a block is taken in pieces cut where
 a pre-token starts, and a pre-token of any length runs through the transducer without being gathered; repeated rows
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,6 +35,8 @@ from palimpsest.llm.common import BLOCK_CHARS, column, text_or_empty, text_runs
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: A worker's memo of pre-tokens has this many slots as a power of two; once half of them are taken it starts anew.
 MEMO_BITS = 22
+#: Longer pre-tokens are not kept.
+MEMO_CHARS = 64
 #: Pairs of tokens whose compatibility is remembered.
 PAIRS = 1_000_000
 NONE = 1 << 30
@@ -122,7 +125,7 @@ class Merges:
             found = self._pairs[key] = self._apart(a, b)
         return found
 
-    @property
+    @cached_property
     def lookahead(self) -> int:
         """Bytes after a token's start that can still decide on it.
 
@@ -149,7 +152,7 @@ class Transducer:
         self.base = self.n = 0
         self.back: dict[int, tuple[int, int]] = {}  # position: (its last token, where that starts)
         self.live: list[tuple[int, int]] = []  # (start, trie node) of tokens that may still end later
-        self.check, self.base_token = 512, -1
+        self.check, self.base_token = self.m.lookahead, -1
 
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
@@ -169,7 +172,7 @@ class Transducer:
             self.live = still
             if n >= self.check:
                 out += self._stable()
-                self.check = n + 512
+                self.check = n + self.m.lookahead
         return out
 
     def _stable(self) -> list[int]:
@@ -202,46 +205,7 @@ class Transducer:
         return self.n - self.base
 
     def word(self, data: bytes) -> list[int]:
-        """A short pre-token at once: longest tokens first, stepping back where no token fits.
-
-        A position is reached by at most one chain of compatible tokens, so one found to lead nowhere stays closed.
-        """
-        trie, at, pairs, fits = self.m.trie, self.m.at, self.m._pairs, self.m.compatible
-        size, start, before = len(data), 0, -1
-        out: list[int] = []
-        undo: list[tuple[int, list[tuple[int, int]]]] = []
-        closed = set()
-        options: list[tuple[int, int]] | None = None
-        while start < size:
-            if options is None:
-                options, node = [], 0
-                for end in range(start, size):
-                    node = trie[node].get(data[end])
-                    if node is None:
-                        break
-                    t = at[node]
-                    if t >= 0:
-                        options.append((t, end + 1))
-            while options:
-                t, end = options.pop()
-                if end in closed:
-                    continue
-                if before >= 0:
-                    ok = pairs.get(before << 20 | t)
-                    if ok is None:
-                        ok = fits(before, t)
-                    if not ok:
-                        continue
-                undo.append((start, options))
-                out.append(t)
-                start, before, options = end, t, None
-                break
-            else:
-                closed.add(start)
-                start, options = undo.pop()
-                out.pop()
-                before = out[-1] if out else -1
-        return out
+        return self.feed(data) + self.finish()
 
 
 #: The code points with the property White_Space.
@@ -353,7 +317,7 @@ def starts(points: np.ndarray, hard: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Texts to ids: vectorised splitting, a memo of short pre-tokens, ``encode_words`` for the rest."""
+    """Texts to ids: vectorised splitting, a memo of short pre-tokens, the transducer (or ``encode_words``) for the rest."""
 
     def __init__(self, merges: Merges, encode_words=None):
         self.m = merges
@@ -364,25 +328,46 @@ class Encoder:
 
     def _clear(self) -> None:
         self.memo, self.known = Memo(MEMO_BITS), 0
-        self.offset, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.offset, self.count, self.place, self.size = (np.zeros(1 << 12, np.int64) for _ in range(4))
         self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.letters, self.written = np.zeros(1 << 14, np.uint32), 0
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    @staticmethod
+    def _room(held: np.ndarray, used: int, end: int) -> np.ndarray:
+        return held if end <= len(held) else np.concatenate([held[:used], np.zeros(max(end, 2 * len(held)) - used, held.dtype)])
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(where each word's ids begin, how many), put behind those that are kept."""
         ids = self.encode_words(words)
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
-        n, end = self.known, self.used + len(flat)
-        if end > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(end, 2 * len(self.pool)) - self.used, np.uint32)])
-        if n + len(ids) > len(self.offset):
-            more = np.zeros(max(n + len(ids), 2 * len(self.offset)) - len(self.offset), np.int64)
-            self.offset, self.count = np.concatenate([self.offset, more]), np.concatenate([self.count, more])
-        self.pool[self.used : end] = flat
-        self.offset[n : n + len(ids)] = self.used + np.cumsum(counts) - counts
-        self.count[n : n + len(ids)] = counts
-        self.used, self.known = end, n + len(ids)
+        end = self.used + int(counts.sum())
+        self.pool = self._room(self.pool, self.used, end)
+        self.pool[self.used : end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.used)
+        return self.used + np.cumsum(counts) - counts, counts
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        offsets, counts = self._encoded(words)
+        n, more = self.known, self.known + len(words)
+        for name in ("offset", "count", "place", "size"):
+            setattr(self, name, self._room(getattr(self, name), n, more))
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        end = self.written + len(points)
+        self.letters = self._room(self.letters, self.written, end)
+        self.letters[self.written : end] = points
+        self.offset[n:more], self.count[n:more] = offsets, counts
+        self.place[n:more], self.size[n:more] = self.written + np.cumsum(sizes) - sizes, sizes
+        self.used, self.written, self.known = self.used + int(counts.sum()), end, more
         self.memo.add(keys, n)
 
+    def _same(self, points: np.ndarray, begin: np.ndarray, sizes: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether the pre-tokens, which follow one another, are those that the memo holds under the slots."""
+        ok = (slot >= 0) & (self.size[slot] == sizes)
+        at = np.repeat(np.where(ok, self.place[slot], 0) - begin, sizes) + np.arange(len(points))
+        wrong = np.flatnonzero(self.letters[np.minimum(at, len(self.letters) - 1)] != points)
+        ok[np.searchsorted(begin, wrong, "right") - 1] = False
+        return ok
+
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has. The texts hold no special tokens."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -398,20 +383,25 @@ class Encoder:
         np.cumsum(words[points] * up[: len(points)], out=sums[1:])
         keys = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)
         keys |= np.uint64(1)
-        slot = self.memo.find(keys)
-        missing = np.flatnonzero(slot < 0)
+        kept = end - begin <= MEMO_CHARS
+        slot = np.where(kept, self.memo.find(keys), -1)
+        missing = np.flatnonzero(kept & (slot < 0))
         if len(missing):
             fresh, one = np.unique(keys[missing], return_index=True)
             if self.known + len(fresh) > len(self.memo.keys) // 2:
                 self._clear()
-                missing = np.arange(len(keys))
-                fresh, one = np.unique(keys, return_index=True)
+                missing = np.flatnonzero(kept)
+                fresh, one = np.unique(keys[missing], return_index=True)
             at = missing[one]
             self._learn(fresh, [whole[s:e] for s, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
             slot[missing] = self.memo.find(keys[missing])
-        count = self.count[slot]
+        # Long ones, and those whose hash another has, are encoded where they stand.
+        apart = np.flatnonzero(~self._same(points, begin, end - begin, slot))
+        offset, count = self.offset[slot], self.count[slot]
+        if len(apart):
+            offset[apart], count[apart] = self._encoded([whole[s:e] for s, e in zip(begin[apart].tolist(), end[apart].tolist(), strict=True)])
         ends = np.cumsum(count)
-        ids = self.pool[np.repeat(self.offset[slot] - (ends - count), count) + np.arange(ends[-1])]
+        ids = self.pool[np.repeat(offset - (ends - count), count) + np.arange(ends[-1])]
         upto = np.append(0, ends)
         cuts = upto[np.searchsorted(begin, np.append(hard, len(points)))]
         return ids, np.diff(cuts)

@@ -45,6 +45,19 @@ def test_ids_are_the_librarys(library, texts):
     assert ids_of(bpe.Encoder(MERGES), texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(n):
+    return ["".join("ab"[(i.bit_count() + turn) & 1] for i in range(n)) for turn in (0, 1)]
+
+
+def test_words_of_equal_hash_keep_their_ids(library, monkeypatch):
+    for kept in (bpe.MEMO_CHARS, 4096):
+        monkeypatch.setattr(bpe, "MEMO_CHARS", kept)
+        encoder = bpe.Encoder(MERGES)
+        for texts in (thue_morse(2048)[:1], thue_morse(2048), thue_morse(1024)):
+            assert ids_of(encoder, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(token_file.library_encoder(SPEC), ["a" * 5000, "x " + "é" * 300]) == [e.ids for e in library.encode_batch(["a" * 5000, "x " + "é" * 300], add_special_tokens=False)]
+
+
 def test_streaming_keeps_a_constant_window(library):
     r = random.Random(3)
     assert MERGES.lookahead < 512
