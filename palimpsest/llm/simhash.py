@@ -52,7 +52,7 @@ def bit_counts(hashes: list[int], sizes: list[int]) -> np.ndarray:
     return np.add.reduceat(bits, ends - sizes, axis=0, dtype=np.int32)
 
 
-def fingerprints_of(texts: list[str]) -> list[str]:
+def fingerprints_of(texts: list[str], size: int = SHINGLE) -> list[str]:
     out = ["0" * 16] * len(texts)
     held: list[int] = []
     whose: list[int] = []
@@ -66,7 +66,7 @@ def fingerprints_of(texts: list[str]) -> list[str]:
         held.clear(), whose.clear(), sizes.clear()
 
     for i, text in enumerate(texts):
-        hashes = shingle_hashes(text)
+        hashes = shingle_hashes(text, size)
         if len(hashes) > BITS_AT_ONCE:
             counts = sum(bit_counts(hashes[k : k + BITS_AT_ONCE], [len(hashes[k : k + BITS_AT_ONCE])])[0] for k in range(0, len(hashes), BITS_AT_ONCE))
             out[i] = np.packbits(counts * 2 > len(hashes)).tobytes().hex()
@@ -80,12 +80,12 @@ def fingerprints_of(texts: list[str]) -> list[str]:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, fingerprint): 16 hexadecimal digits for each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(column(batch, "id"), pa.int64()), pa.array(fingerprints_of(column(batch, "text")), pa.string())], ["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([pa.array(column(batch, "id"), pa.int64()), pa.array(fingerprints_of(column(batch, "text"), size), pa.string())], ["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, fingerprint string").withColumnRenamed("id", id_col)
@@ -161,22 +161,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """(id, fingerprint, component_id): one row for each input row with an id; rows with a null id give none."""
-    prints = stored(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "fingerprints").withColumnRenamed(id_col, "id")
-    groups = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("node")).withColumn("fp", F.conv("fingerprint", 16, -10).cast("long")), "groups")
+def linked(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fingerprint, component_id) of rows (id, fingerprint): the smallest id that links reach; null ids do not link."""
+    groups = stored(prints.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("node")).withColumn("fp", F.conv("fingerprint", 16, -10).cast("long")), "groups")
     first = components(chained(groups, threshold)).withColumnRenamed("component", "label")
     labelled = stored(groups.join(first, "node", "left").select("fingerprint", "fp", F.coalesce("label", "node").alias("label")), "labelled")
     joined = components(links(labelled, threshold)).withColumnRenamed("node", "label")
-    found = labelled.join(joined, "label", "left").select("fingerprint", F.coalesce("component", "label").alias("component_id"))
-    return prints.join(found, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    return labelled.join(joined, "label", "left").select("fingerprint", F.coalesce("component", "label").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """The documents without all but the one with the smallest id of each component; rows without an id stay.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """(id, fingerprint, component_id): one row for each input row.
 
-    Of rows that share an id any one stays, even if their texts differ; near_copies.one_of_each tells them apart.
+    Rows with a null id make no links; theirs is the component of their fingerprint, null where no id has it.
     """
-    kept = near_duplicates(docs, id_col, text_col, threshold).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    first = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
-    return first.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    prints = stored(fingerprints(docs, id_col, text_col, size), "fingerprints").withColumnRenamed(id_col, "id")
+    return prints.join(linked(prints, threshold), "fingerprint", "left").select(F.col("id").alias(id_col), "fingerprint", "component_id")
