@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a private one only where Spark is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("palimpsest.local.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
     if not found:
         found = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("palimpsest.local.checkpoint.dir", found)

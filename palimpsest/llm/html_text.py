@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,9 @@ SALTS = 32
 
 # Element names of HTML, and words that classes and ids use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title xmp".split())
+RAW = frozenset("script style noscript template iframe svg math canvas audio video textarea title xmp".split())
+#: Of these, elements of other languages, which may close themselves.
+FOREIGN = frozenset(("svg", "math"))
 DROPPED = frozenset("head nav footer aside form button select option dialog menu label fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt"} | {"li", "dd", "dt"}
@@ -53,7 +56,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\s+|/|\"[^\"<]*\"|'[^'<]*'|[^\s\"'>])*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
@@ -71,8 +74,11 @@ class Node:
     digest: int = 0
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """(class and id, whether they, the role or a style say that this is no content)."""
+def _attributes(raw: str, whole: bool = False) -> tuple[str, bool]:
+    """(class and id, whether they, the role or a style say that this is no content).
+
+    whole: only whole class names count, as for paragraphs and their like; else also their words.
+    """
     if not raw or raw.isspace():
         return "", False
     label, furniture = [], False
@@ -80,7 +86,7 @@ def _attributes(raw: str) -> tuple[str, bool]:
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
             label.append(value)
-            furniture = furniture or any(w.lower() in FURNITURE for w in WORD.findall(value))
+            furniture = furniture or any(w.lower() in FURNITURE for w in (value.split() if whole else WORD.findall(value)))
         elif name == "role":
             furniture = furniture or value.lower() in ROLES
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -93,15 +99,18 @@ def _attributes(raw: str) -> tuple[str, bool]:
 def parse(page: str) -> Node:
     """The tree of a page; every element carries the digest of its subtree."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at, opened = [root], 0, Counter()
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             node = stack.pop()
+            opened[node.tag] -= 1
             body = "\x1f".join(c if isinstance(c, str) else f"\x1e{c.digest:x}" for c in node.children)
             node.digest = xxhash.xxh64_intdigest(f"{node.tag}\x1d{node.label}\x1d{' '.join(body.split())}")
 
     def leave(tags: frozenset | set, barrier: frozenset) -> None:
+        if not any(opened[t] > 0 for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
                 close(k)
@@ -121,13 +130,15 @@ def parse(page: str) -> Node:
         if not tag or m[5] and not m[0].endswith(">"):
             continue  # a comment, a declaration, or a tag that the page's end cuts off
         if m[1] or m[4]:
-            if tag == "p" or tag not in VOID:
+            if opened[tag] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         close(k)
                         break
             continue
         if tag in RAW:
+            if tag in FOREIGN and m[0].endswith("/>"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -143,10 +154,11 @@ def parse(page: str) -> Node:
             leave({"td", "th"}, frozenset({"tr", "table"}))
         elif tag == "tr":
             leave({"tr"}, frozenset({"table"}))
-        node = Node(tag, *_attributes(m[3] or m[6] or ""))
+        node = Node(tag, *_attributes(m[3] or m[6] or "", tag in KEPT_WITH_PARENTS))
         stack[-1].children.append(node)
         if tag not in VOID and not m[0].endswith("/>"):
             stack.append(node)
+            opened[tag] += 1
     close(0)
     return root
 

@@ -5,11 +5,11 @@ social security numbers, the calendar for dates) are permuted within their forma
 are two halves that take turns to be shifted by a keyed hash of the other (eight rounds, halves of unequal size for odd
 lengths). A card stays a valid card, a date a date of the same notation in the same two centuries. As a permutation
 of the format's values, equal values get equal pseudonyms in all documents and different values different ones, and
-whoever has the key can undo it. Addresses of mail keep their domain and get a keyed name of the same shape.
+whoever has the key can undo it. Addresses of mail keep their domain; their names are permuted among those of one shape.
 
 Defined cases: null text stays null; text without findings stays as it is; what looks like a number but fails its
 validation stays; texts of any length are scanned whole; repeated rows give repeated result rows; the result keeps all
-columns and adds ``n_findings``.
+columns and adds ``n_findings``, with underscores behind the name where the input has such a column.
 """
 
 from __future__ import annotations
@@ -123,11 +123,19 @@ def _date(key: str, undo: bool) -> str:
 
 
 def _email(key: str, undo: bool) -> str:
-    name = "substring_index(v, '@', 1)"
-    code = f"sha2(concat_ws('|', {_sql(key)}, 'email', lower(v), i DIV 32), 256)"
-    byte = f"CAST(conv(substring({code}, 2 * (i % 32) + 1, 2), 16, 10) AS INT)"
-    each = f"CASE WHEN c RLIKE '[a-z]' THEN chr(97 + {byte} % 26) WHEN c RLIKE '[A-Z]' THEN chr(65 + {byte} % 26) WHEN c RLIKE '[0-9]' THEN chr(48 + {byte} % 10) ELSE c END"
-    return f"concat(array_join(transform(split({name}, ''), (c, i) -> {each}), ''), '@', substring_index(v, '@', -1))"
+    """Two halves of a name take turns to have their letters and digits shifted, within their kind, by a hash of the other."""
+    turn, moved = ("s.a", "s.b") if undo else ("s.b", "s.a")
+    code = f"sha2(concat_ws('|', {_sql(key)}, 'email', domain, r, {turn}), 256)"
+    byte = "CAST(conv(substring(code, 2 * (i % 32) + 1, 2), 16, 10) AS INT)"
+    sign = "-" if undo else "+"
+    kinds = " ".join(f"WHEN c RLIKE '[{first}-{last}]' THEN chr({ord(first)} + pmod(ascii(c) - {ord(first)} {sign} {byte}, {ord(last) - ord(first) + 1}))" for first, last in ("az", "AZ", "09"))
+    shifted = _let("code", code, f"array_join(transform(split({moved}, ''), (c, i) -> CASE {kinds} ELSE c END), '')")
+    step = f"named_struct('a', {shifted}, 'b', s.a)" if undo else f"named_struct('a', s.b, 'b', {shifted})"
+    left = "CAST(char_length(name) DIV 2 AS INT)"
+    start = f"named_struct('a', substring(name, 1, {left}), 'b', substring(name, {left} + 1))"
+    rounds = f"sequence({ROUNDS - 1}, 0)" if undo else f"sequence(0, {ROUNDS - 1})"
+    walk = f"aggregate({rounds}, {start}, (s, r) -> {step}, s -> concat(s.a, s.b, '@', substring_index(v, '@', -1)))"
+    return _let("name", "substring_index(v, '@', 1)", _let("domain", "lower(substring_index(v, '@', -1))", walk))
 
 
 MOVES = {"email": _email, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
@@ -135,8 +143,8 @@ EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
 def pseudonym(key: str, undo: bool = False) -> str:
-    """SQL from a found value ``v`` to its pseudonym (or back, but for mail names); itself if it fails validation."""
-    cases = " ".join(f"WHEN v RLIKE {_whole(kind)} THEN {move(key, undo)}" for kind, move in MOVES.items() if not (undo and kind == "email"))
+    """SQL from a found value ``v`` to its pseudonym, or back; itself if it fails validation."""
+    cases = " ".join(f"WHEN v RLIKE {_whole(kind)} THEN {move(key, undo)}" for kind, move in MOVES.items())
     return f"CASE {cases} ELSE v END"
 
 
@@ -147,8 +155,12 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", undo: bool = F
     text, every = F.col(text_col), F.lit(EVERY)
     maybe = text.rlike("[0-9@]")
     found = F.when(maybe, F.regexp_extract_all(text, every, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = df.withColumn("_found", found).withColumn("_moved", F.expr(f"transform(_found, v -> {pseudonym(key, undo)})"))
+    found_col, moved_col, count_col = ("_found", "_moved", "n_findings")
+    while {found_col, moved_col, count_col} & set(df.columns):
+        found_col, moved_col = f"{found_col}_", f"{moved_col}_"
+        count_col = f"{count_col}_" if count_col in df.columns else count_col
+    rows = df.withColumn(found_col, found).withColumn(moved_col, F.expr(f"transform({found_col}, v -> {pseudonym(key, undo)})"))
     between = F.split(text, EVERY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.concat("_moved", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    changed: Column = F.size(F.filter(F.zip_with("_found", "_moved", lambda a, b: a != b), lambda x: x))
-    return rows.withColumn("n_findings", F.coalesce(changed, F.lit(0))).withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(text)).drop("_found", "_moved")
+    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(moved_col, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    changed: Column = F.size(F.filter(F.zip_with(found_col, moved_col, lambda a, b: a != b), lambda x: x))
+    return rows.withColumn(count_col, F.coalesce(changed, F.lit(0))).withColumn(text_col, F.when(F.size(found_col) > 0, joined).otherwise(text)).drop(found_col, moved_col)

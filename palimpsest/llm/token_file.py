@@ -250,7 +250,7 @@ def pack(ids: np.ndarray) -> bytes:
         for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):  # noqa: B905
             whole[: b - a, i] = ids[a:b]
         blocks = encode_blocks(whole)
-    raw = ids.astype("<u4")
+    raw = ids.astype("<u4", copy=False)
     head = b"".join(struct.pack("<IHI", len(b), int(m), zlib.crc32(raw[e - m : e].tobytes())) for b, m, e in zip(blocks, lengths, ends[1:], strict=True))
     return MAGIC + struct.pack("<I", n) + head + b"".join(blocks)
 
@@ -314,9 +314,9 @@ class Frames:
         self.ids, self.lengths, self.crcs = [], [], []
 
     def _pack(self) -> None:
-        self.packs.append(pack(np.concatenate(self.parts)))
-        self.packed += self.held
-        self.parts, self.held = [], 0
+        whole = np.concatenate(self.parts)
+        self.parts, self.packed, self.held = [], self.packed + self.held, 0
+        self.packs.append(pack(whole))
 
     def begin(self, doc_id) -> None:
         self.ids.append(doc_id)
