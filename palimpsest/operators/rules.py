@@ -13,6 +13,9 @@ from palimpsest.functions import text as T
 RULE_SCHEMA = "document_type string, profile_name string, ord int, name string, rule_type string, field_name string, severity string, message string, pattern string, is_active boolean"
 ISSUE = "struct<ord:int,rule_name:string,field_name:string,severity:string,message:string,details:map<string,string>>"
 FIELDS = ["has_text", "has_date", "has_signature", *C.SECTIONS]
+LISTS = ["date_candidates", "redaction_labels", "detected_sections"]
+#: Field to column.
+TEXTS = {"document_text": "text"}
 
 
 def builtin_rules(spark: SparkSession) -> DataFrame:
@@ -22,8 +25,12 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
 
 
 def fields_of(df: DataFrame) -> Column:
-    """The fields that rules ask for, as text and by truth."""
-    return F.create_map(*[x for f in FIELDS if f in df.columns for x in (F.lit(f), F.struct(F.col(f).cast("boolean").alias("truth"), F.initcap(F.col(f).cast("string")).alias("text")))])
+    """The fields that rules ask for, as text and by truth; a list is true if it holds something, a text if it is not empty."""
+    flags = {f: (F.col(f).cast("boolean"), F.initcap(F.col(f).cast("string"))) for f in FIELDS if f in df.columns}
+    lists = {f: (F.size(f) > 0, F.when(F.size(f) > 0, F.concat(F.lit("['"), F.array_join(f, "', '"), F.lit("']"))).otherwise("[]")) for f in LISTS if f in df.columns}
+    texts = {name: (F.coalesce(F.col(c), F.lit("")) != "", F.coalesce(c, F.lit(""))) for name, c in TEXTS.items() if c in df.columns}
+    every = flags | lists | texts
+    return F.create_map(*[x for f, (truth, text) in every.items() for x in (F.lit(f), F.struct(truth.alias("truth"), text.alias("text")))])
 
 
 def required_field(rule: str, fields: str) -> str:
@@ -49,6 +56,20 @@ def profiles(rules: DataFrame) -> DataFrame:
     return held.select("document_type", "profile_name", F.size("rules").cast("long").alias("total_rules"), F.filter("rules", lambda r: r["is_active"]).alias("rules"))
 
 
+def broken_patterns(spark: SparkSession, rules: DataFrame) -> list[str]:
+    """Patterns of rules that are no regular expressions: one of them would fail every job that evaluates the rule.
+
+    To be asked when a profile is stored; rule tables are small, so their patterns go through the driver.
+    """
+    regex, out = spark._jvm.java.util.regex.Pattern, []
+    for row in rules.where("pattern IS NOT NULL").select("pattern").distinct().collect():
+        try:
+            regex.compile(f"(?U)\\A(?:{row.pattern})\\z")
+        except Exception:
+            out.append(row.pattern)
+    return sorted(out)
+
+
 def newest_profiles(stored: DataFrame) -> DataFrame:
     """The newest active profile of each type; ties go to the larger id."""
     newest = Window.partitionBy("document_type").orderBy(F.desc("created_at"), F.desc("profile_id"))

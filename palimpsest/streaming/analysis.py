@@ -11,9 +11,9 @@ from palimpsest.operators import formal, rules
 REPORT = ["doc_id", "document_type", "confidence", "profile_name", "total_rules", "error_count", "warning_count", "is_complete", "completeness_score", "status"]
 
 
-def analyse(docs: DataFrame, by_type: DataFrame) -> DataFrame:
-    """The report of each document: extraction, rules, scores. Lazy, row by row, no shuffle."""
-    return rules.report(rules.issues(formal.extract(docs), by_type)).withColumn("status", F.lit("completed")).select(*REPORT)
+def analyse(docs: DataFrame, by_type: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The report of each document, and its columns ``keep``: extraction, rules, scores. Lazy, row by row, no shuffle."""
+    return rules.report(rules.issues(formal.extract(docs), by_type)).withColumn("status", F.lit("completed")).select(*REPORT, *keep)
 
 
 def start(spark: SparkSession, source: str, sink: str, checkpoint: str, by_type: DataFrame, schema: str = "doc_id long, text string, sent_at timestamp") -> StreamingQuery:
@@ -23,7 +23,7 @@ def start(spark: SparkSession, source: str, sink: str, checkpoint: str, by_type:
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        analyse(batch, by_type).join(batch.select("doc_id", "sent_at").groupBy("doc_id").agg(F.max("sent_at").alias("sent_at")), "doc_id").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        analyse(batch, by_type, ("sent_at",)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
