@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
@@ -64,6 +64,31 @@ def classify(docs: DataFrame, model: PipelineModel, text: str = "text", least: f
     return rows.withColumn("model_type", kind).drop("clean", "words", "counts", "weighed", "features", "rawPrediction", "probability", "prediction", "_p", "_best")
 
 
+class NotReady(RuntimeError):
+    """There is no stored classifier."""
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(spark: SparkSession, path: str) -> PipelineModel:
+    """The classifier stored at ``path``, on any file system that Spark knows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        raise NotReady(f"no classifier is stored at {path}")
+    return PipelineModel.load(path)
+
+
+def stored_or_none(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Add model_type and model_confidence by the classifier at ``path``; nulls where it is missing or the text is empty."""
+    try:
+        model = load(rows.sparkSession, path)
+    except NotReady:
+        return rows.withColumns({"model_type": F.lit(None).cast("string"), "model_confidence": F.lit(None).cast("double")})
+    return classify(rows, model, text)
+
+
 def with_fallback(rows: DataFrame) -> DataFrame:
     """document_type and confidence of the classifier where it has an answer, else those of the keywords."""
     some = F.col("model_type").isNotNull()

@@ -48,7 +48,8 @@ def personal_data(pages: DataFrame, words: str = "words", entities: str | None =
     dates = f"flatten(transform(fragments, d -> transform(filter({words}, w -> lower(w.text) = d), w -> {labelled.format(T.quoted(C.LABEL.format('DATA')))})))"
     found = T.bound("own", own, T.bound("fragments", date_fragments(page), f"concat(own, {fresh(dates, 'own')})"))
     if entities:
-        named = f"flatten(transform({entities}, e -> transform(filter({words}, w -> array_contains(split(lower(e.fragment), ' '), lower(w.text))), w -> {labelled.format('e.label')})))"
+        of = f"transform(filter({words}, w -> lower(w.text) = d), w -> {labelled.format('e.label')})"
+        named = f"flatten(transform({entities}, e -> flatten(transform(filter(split(lower(e.fragment), '\\\\s+'), d -> d <> ''), d -> {of}))))"
         found = T.bound("so_far", found, f"concat(so_far, {fresh(named, 'so_far')})")
     return pages.withColumn("found", F.expr(found))
 
@@ -73,6 +74,36 @@ def merge_digits(words: str, dy: int = 15, gap: int = 40) -> Column:
     return F.expr(f"IF(size({words}) > 0, transform(array({words}), ws -> aggregate(sequence(0, size(ws) - 1), {start}, (s, i) -> {step}, s -> s.out))[0], {words})")
 
 
+#: Labels of named entities by language of the page, other languages by the Polish model.
+ENTITY_LABELS = {
+    "en": {"PERSON": "[UTAJNIONO: IMIE/NAZWISKO]", "DATE": "[UTAJNIONO: DATA]"},
+    "pl": {
+        "persName": "[UTAJNIONO: IMIE/NAZWISKO]",
+        "placeName": "[UTAJNIONO: ADRES]",
+        "geogName": "[UTAJNIONO: ADRES]",
+        "date": "[UTAJNIONO: DATA]",
+        "time": "[UTAJNIONO: DATA]",
+    },
+}
+#: Pages of fewer characters have no named entities.
+LEAST_TEXT = 5
+
+
+def routed(entities: str, language: str, words: str = "words") -> Column:
+    """A model's (fragment, kind) as (fragment, label): kinds that count in the page's language (null: Polish) alone."""
+    page = T.strip(f"array_join(transform({words}, w -> w.text), ' ')")
+    tables = {lang: "map(" + ", ".join(f"{T.quoted(k)}, {T.quoted(v)}" for k, v in table.items()) + ")" for lang, table in ENTITY_LABELS.items()}
+    label = f"IF({language} = 'en', {tables['en']}[e.kind], {tables['pl']}[e.kind])"
+    known = f"filter(transform({entities}, e -> named_struct('fragment', e.fragment, 'label', {label})), e -> e.label IS NOT NULL)"
+    return F.expr(f"IF(length({page}) < {LEAST_TEXT}, CAST(array() AS ARRAY<STRUCT<fragment: STRING, label: STRING>>), {known})")
+
+
+def redacted_files(pages: DataFrame, key: str, name: str, found: str = "found") -> DataFrame:
+    """(key, filename, total, pages) of files from the rows of their pages: what is masked, and the output's name."""
+    stem = F.regexp_replace(F.regexp_extract(F.max(name), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return pages.groupBy(key).agg(F.concat(F.lit("anonymized_"), stem, F.lit(".tiff")).alias("filename"), F.sum(F.size(found)).alias("total"), F.count("*").alias("pages"))
+
+
 def with_entities(pages: DataFrame, model: Callable | None = None) -> DataFrame:
     """The named-entity boundary: ``model`` maps Arrow batches of pages to batches with ``entities``; none: no entities."""
     if model is None:

@@ -14,6 +14,8 @@ RULE_SCHEMA = "document_type string, profile_name string, ord int, name string,
 ISSUE = "struct<ord:int,rule_name:string,field_name:string,severity:string,message:string,details:map<string,string>>"
 FIELDS = ["has_text", "has_date", "has_signature", *C.SECTIONS]
 LISTS = ["date_candidates", "redaction_labels", "detected_sections"]
+#: What a profile holds of a rule, the order first.
+IN_PROFILE = ("ord", "name", "rule_type", "field_name", "severity", "message", "pattern", "is_active")
 #: Field to column.
 TEXTS = {"document_text": "text"}
 
@@ -49,11 +51,49 @@ def regex_match(rule: str, fields: str) -> str:
 RULE_TYPES: dict[str, Callable[[str, str], str]] = {"required_field": required_field, "regex_match": regex_match}
 
 
+def _in_order(held: DataFrame) -> DataFrame:
+    """(document_type, profile_name, total_rules, rules, broken): of all rules, the active ones count.
+
+    Patterns that are no regular expressions are taken out, and ``broken`` names the first.
+    """
+    bad = T.strings(broken_patterns(held.sparkSession, held.select(F.explode("rules").alias("r")).select("r.pattern")))
+    broken = f"filter(rules, r -> r.is_active AND r.rule_type = 'regex_match' AND coalesce(r.field_name, '') <> '' AND array_contains({bad}, r.pattern))"
+    active = f"transform(filter(rules, r -> r.is_active), r -> named_struct('ord', r.ord, 'name', r.name, 'rule_type', r.rule_type, 'field_name', r.field_name, 'severity', r.severity, 'message', r.message, 'pattern', IF(array_contains({bad}, r.pattern), NULL, r.pattern), 'is_active', true))"
+    return held.select("document_type", "profile_name", F.size("rules").cast("long").alias("total_rules"), F.expr(active).alias("rules"), F.expr(f"concat('not a regular expression: ', get({broken}, 0).pattern)").alias("broken"))
+
+
 def profiles(rules: DataFrame) -> DataFrame:
     """A row for each document type: its profile, its number of rules, its active rules in order."""
-    one = F.struct("ord", "name", "rule_type", "field_name", "severity", "message", "pattern", "is_active")
-    held = rules.groupBy("document_type").agg(F.max("profile_name").alias("profile_name"), F.sort_array(F.collect_list(one)).alias("rules"))
-    return held.select("document_type", "profile_name", F.size("rules").cast("long").alias("total_rules"), F.filter("rules", lambda r: r["is_active"]).alias("rules"))
+    held = rules.groupBy("document_type").agg(F.max("profile_name").alias("profile_name"), F.sort_array(F.collect_list(F.struct(*IN_PROFILE))).alias("rules"))
+    return _in_order(held)
+
+
+def stored_profiles(stored: DataFrame, rules: DataFrame) -> DataFrame:
+    """The newest active profile (profile_id, document_type, name, is_active, created_at) of each type with its own rules.
+
+    rules have the profile_id they belong to; a profile without rules has none and still counts as one.
+    """
+    newest = newest_profiles(stored).select("profile_id", "document_type", F.col("name").alias("profile_name"))
+    own = rules.select("profile_id", F.struct(*IN_PROFILE).alias("_rule"))
+    held = newest.join(own, "profile_id", "left").groupBy("profile_id", "document_type", "profile_name").agg(F.sort_array(F.collect_list("_rule")).alias("rules"))
+    return _in_order(held)
+
+
+def created(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """New profiles with ``outcome``: a name that is stored, or an earlier new one (smallest id), is a conflict.
+
+    Created ones are active, whatever was asked for.
+    """
+    first = Window.partitionBy("name").orderBy("profile_id")
+    taken = stored.select("name", F.lit(True).alias("_taken")).distinct()
+    rows = new.withColumn("_n", F.row_number().over(first)).join(taken, "name", "left")
+    rows = rows.withColumn("outcome", F.when(F.col("_taken") | (F.col("_n") > 1), "conflict").otherwise("created"))
+    return rows.withColumn("is_active", F.col("outcome") == "created").drop("_n", "_taken")
+
+
+def listed(stored: DataFrame) -> DataFrame:
+    """Profiles by type, the newest first."""
+    return stored.orderBy("document_type", F.desc("created_at"), F.desc("profile_id"))
 
 
 def broken_patterns(spark: SparkSession, rules: DataFrame) -> list[str]:
@@ -110,6 +150,21 @@ def report(rows: DataFrame, clamp: bool = True) -> DataFrame:
     return rows.withColumn("is_complete", F.col("error_count") == 0).withColumn("completeness_score", score)
 
 
+def summarised(rows: DataFrame) -> DataFrame:
+    """Add ``summary``: what was checked, by which profile, and what was found; of a report's rows."""
+    checked = [f for f in FIELDS if f in rows.columns]
+    return rows.withColumn("summary", F.struct(
+        "document_type",
+        F.col("confidence").alias("classification_confidence"),
+        "profile_name",
+        (F.col("profile_name").isNotNull() | (F.col("total_rules") > 0)).alias("validation_profile_available"),
+        "total_rules",
+        F.size("issues").cast("long").alias("issues"),
+        F.create_map(*[x for f in checked for x in (F.lit(f), F.col(f))]).alias("checked_fields"),
+        "detected_sections",
+    ))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, newest: str) -> DataFrame:
     """One row for each key, the newest; of equals the new one."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

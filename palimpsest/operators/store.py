@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
+
 MAX_BYTES = 20 << 20
 EXTENSIONS = ("pdf", "jpg", "jpeg", "png")
+#: Content types of files that are redacted at once.
+CONTENT_TYPES = ("application/pdf", "image/png", "image/jpeg", "image/jpg")
+#: What listings leave out.
+DETAILS = ("ocr_raw_result", "extracted_fields")
 
 
 def by_key(df: DataFrame, **keys) -> DataFrame:
@@ -52,6 +58,55 @@ def upload_verdict(name: Column, size: Column) -> Column:
     return F.when(size > MAX_BYTES, "too_large").when(~extension.isin(*EXTENSIONS), "unsupported").otherwise("ok")
 
 
+def content_type_verdict(content_type: Column) -> Column:
+    return F.when(F.lower(F.coalesce(content_type, F.lit(""))).isin(*CONTENT_TYPES), "ok").otherwise("unsupported")
+
+
+def listing(df: DataFrame) -> DataFrame:
+    """The light projection: rows without what only a detail view shows."""
+    return df.drop(*DETAILS)
+
+
+def storage_path(root: str, owner: Column, name: Column) -> Column:
+    """Where an upload is kept: one file for each owner and base name, a later one overwrites it."""
+    return F.concat_ws("/", F.lit(root), owner.cast("string"), F.regexp_extract(name, r"([^/\\]*)$", 1))
+
+
+def read_outcome(owner: Column, user: Column, admin: bool = False) -> Column:
+    """Of a row by its owner (null: there is no such row): what is not one's own is not found."""
+    return F.when(owner.isNull(), "not_found").when(F.lit(admin) | (owner == user), "ok").otherwise("not_found")
+
+
+def change_outcome(owner: Column, user: Column) -> Column:
+    """As :func:`read_outcome`, but changing what is not one's own is forbidden."""
+    return F.when(owner.isNull(), "not_found").when(owner == user, "ok").otherwise("forbidden")
+
+
+def changed(df: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """Requests (key, user, document_type, suggested_document_type) with the row they lead to and their outcome.
+
+    A document type is set, and the suggestion then ignored; else a suggestion is; else the row is read as it is.
+    """
+    asked = requests.select(key, "user", F.col("document_type").alias("_type"), F.col("suggested_document_type").alias("_hint"))
+    rows = asked.join(df, key, "left")
+    changes = F.col("_type").isNotNull() | F.col("_hint").isNotNull()
+    outcome = F.when(changes, change_outcome(F.col("owner_id"), F.col("user"))).otherwise(read_outcome(F.col("owner_id"), F.col("user")))
+    fine = F.col("outcome") == "ok"
+    rows = rows.withColumn("outcome", outcome)
+    hint = F.when(fine & F.col("_type").isNull(), F.coalesce("_hint", "suggested_document_type")).otherwise(F.col("suggested_document_type"))
+    return rows.withColumns({"document_type": F.when(fine, F.coalesce("_type", "document_type")).otherwise(F.col("document_type")), "suggested_document_type": hint}).drop("_type", "_hint")
+
+
+def classify_input(text: str, payload: str) -> Column:
+    """The text to classify: the one given, trimmed, else the content of the JSON payload; null if there is none.
+
+    A content of JSON null reads as the word None, and of another type as its text.
+    """
+    content = f"variant_get(try_parse_json({payload}), '$.content')"
+    other = f"CASE WHEN is_variant_null({content}) THEN 'None' ELSE try_variant_get(try_parse_json({payload}), '$.content', 'STRING') END"
+    return F.expr(f"coalesce(nullif({T.strip(f'coalesce({text}, {T.quoted(str())})')}, ''), nullif({T.strip(other)}, ''))")
+
+
 def coerced(value: Column, allowed: list[str], default: str = "unknown") -> Column:
     return F.when(value.isin(*allowed), value).otherwise(default)
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
 from palimpsest.functions import text as T
-from palimpsest.operators import classify, formal, legal, ocr, pii, rules, store
+from palimpsest.operators import classify, formal, jobs, legal, ocr, pii, rules, store
 from palimpsest.plans import fixtures
+from palimpsest.sources import readers
 from palimpsest.streaming import analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,3 +326,142 @@ def analysis_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def classifier_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamped(spark, sf_dir).select("doc_id", F.md5(T.classifier_text("text")).alias("clean_md5"))
+
+
+# The life of an analysis. Some files are missing or unreadable, some replies are not JSON.
+D_LIFE = "life AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 1 WHEN doc_id % 7 = 0 THEN 3 WHEN doc_id % 5 = 0 THEN 4 ELSE 0 END AS bad FROM documents)"
+
+
+@query(
+    f"WITH {D_LIFE} SELECT doc_id, CASE WHEN bad = 0 THEN 'completed' ELSE 'ocr_failed' END AS status, CASE bad WHEN 1 THEN 'local_ocr' WHEN 3 THEN 'azure_ocr' WHEN 4 THEN 'llm_analysis' ELSE 'completed' END AS processing_stage, "
+    "CASE bad WHEN 1 THEN 25 WHEN 3 THEN 75 ELSE 100 END AS progress, CASE bad WHEN 1 THEN 'there is no file' WHEN 3 THEN 'no text' WHEN 4 THEN 'no reply' END AS error_message FROM life"
+)
+def legal_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognition, redaction, cloud recognition and review; each row stops at its first failure."""
+
+    def local(rows: DataFrame) -> DataFrame:
+        return readers.recognised(rows.withColumn("content", F.expr("IF(doc_id % 11 = 0, NULL, encode('44051401458', 'UTF-8'))")), lambda content, path: [[{"text": content.decode(), "x": 0, "y": 0, "width": 9, "height": 9}]])
+
+    def redaction(rows: DataFrame) -> DataFrame:
+        found = pii.personal_data(rows.withColumn("words", F.expr("coalesce(get(pages, 0), array())")))
+        return found.withColumn("error", F.expr("IF(size(pages) = 1 AND size(found) <> 1, 'not masked', NULL)"))
+
+    def cloud(rows: DataFrame) -> DataFrame:
+        payload = "IF(doc_id % 7 = 0, '{}', to_json(named_struct('content', found[0].label)))"
+        return rows.withColumn("content", ocr.payload_text(payload)).withColumn("error", F.expr("IF(content = '', 'no text', NULL)"))
+
+    def review(rows: DataFrame) -> DataFrame:
+        raw = "IF(doc_id % 5 = 0, NULL, '{\"summary\": \"ok\"}')"
+        return rows.withColumn("r", legal.reply(raw)).withColumn("error", F.expr("IF(coalesce(r.summary, '') = '', 'no reply', NULL)"))
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"))
+    rows = jobs.advance(docs, list(zip(jobs.LEGAL_STAGES, (local, redaction, cloud, review), strict=True)))
+    return rows.select("doc_id", "status", "processing_stage", store.progress(F.col("processing_step")).alias("progress"), "error_message")
+
+
+@query(
+    f"{D_ISSUES}, n AS (SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS e FROM issues GROUP BY doc_id) SELECT f.doc_id, f.document_type, "
+    "CASE f.document_type WHEN 'invoice' THEN NULL WHEN 'contract' THEN 0 ELSE coalesce(e, 0) + 0 END::BIGINT AS error_count, CASE f.document_type WHEN 'invoice' THEN 'failed' ELSE 'completed' END AS status, "
+    "CASE f.document_type WHEN 'invoice' THEN 'queued' ELSE 'processed' END AS document_status, CASE f.document_type WHEN 'invoice' THEN 'not a regular expression: (' END AS error_message FROM fields f LEFT JOIN n ON f.doc_id = n.doc_id"
+)
+def analysis_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built-in profiles, but for two stored ones: that of invoices has a broken pattern, that of contracts no rule."""
+    stored = spark.sql("SELECT * FROM VALUES ('a', 'invoice', 'A', true, 1), ('b', 'contract', 'B', true, 2), ('c', 'contract', 'C', false, 3) p(profile_id, document_type, name, is_active, created_at)")
+    own = spark.sql("SELECT 'a' AS profile_id, 1 AS ord, 'r' AS name, 'regex_match' AS rule_type, 'document_text' AS field_name, 'error' AS severity, CAST(NULL AS STRING) AS message, '(' AS pattern, true AS is_active")
+    by_type = rules.with_fallback(rules.stored_profiles(stored, own), rules.profiles(rules.builtin_rules(spark)))
+    return jobs.analysed(stamped(spark, sf_dir), by_type).select("doc_id", "document_type", "error_count", "status", "document_status", "error_message")
+
+
+@query(
+    f"{D_ISSUES}, n AS (SELECT doc_id, count(*) AS n FROM issues GROUP BY doc_id), p AS (SELECT document_type, max(profile_name) AS profile_name, count(*) AS total FROM rules GROUP BY document_type) "
+    f"SELECT f.doc_id, f.document_type, f.confidence, profile_name, profile_name IS NOT NULL AS available, coalesce(total, 0)::BIGINT AS total_rules, coalesce(n, 0)::BIGINT AS issues, has_date AND has_text AS dated, array_to_string(list_sort(list_filter([{', '.join(f'CASE WHEN {s} THEN {T.quoted(s)} END' for s in C.SECTIONS)}], lambda x: x IS NOT NULL)), ',') AS sections "
+    "FROM fields f LEFT JOIN n ON f.doc_id = n.doc_id LEFT JOIN p ON f.document_type = p.document_type"
+)
+def report_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = rules.summarised(_reports(spark, sf_dir)).select("doc_id", "summary.*")
+    dated = F.col("checked_fields")["has_date"] & F.col("checked_fields")["has_text"]
+    return s.select("doc_id", "document_type", F.col("classification_confidence").alias("confidence"), "profile_name", F.col("validation_profile_available").alias("available"), "total_rules", "issues", dated.alias("dated"), F.array_join("detected_sections", ",").alias("sections"))
+
+
+@query(
+    "WITH p AS (SELECT c_custkey AS profile_id, c_mktsegment AS document_type, c_name AS profile_name FROM customer WHERE c_nationkey > 2 QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey DESC, c_custkey DESC) = 1) "
+    "SELECT document_type, profile_name, count(o_orderkey)::BIGINT AS total_rules, count(o_orderkey) FILTER (WHERE o_orderstatus <> 'F')::BIGINT AS active_rules FROM p LEFT JOIN orders ON o_custkey = profile_id GROUP BY ALL"
+)
+def profiles_with_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for profiles, their orders for rules."""
+    stored = table(spark, sf_dir, "customer").selectExpr("c_custkey AS profile_id", "c_mktsegment AS document_type", "c_name AS name", "c_nationkey > 2 AS is_active", "c_nationkey AS created_at")
+    own = table(spark, sf_dir, "orders").selectExpr("o_custkey AS profile_id", "o_orderkey AS ord", "o_orderpriority AS name", "'required_field' AS rule_type", "'has_text' AS field_name", "'error' AS severity", "'' AS message", "CAST(NULL AS STRING) AS pattern", "o_orderstatus <> 'F' AS is_active")
+    return rules.stored_profiles(stored, own).select("document_type", "profile_name", "total_rules", F.size("rules").cast("long").alias("active_rules"))
+
+
+D_NAMES = "names AS (SELECT c_custkey AS profile_id, concat(c_mktsegment, ' ', c_custkey % 400) AS name FROM customer)"
+
+
+@query(f"WITH {D_NAMES}, q AS (SELECT profile_id, CASE WHEN name IN (SELECT name FROM names WHERE profile_id % 3 = 0) OR row_number() OVER (PARTITION BY name ORDER BY profile_id) > 1 THEN 'conflict' ELSE 'created' END AS outcome FROM names WHERE profile_id % 3 <> 0) SELECT *, outcome = 'created' AS is_active FROM q")
+def created_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "customer").selectExpr("c_custkey AS profile_id", "concat(c_mktsegment, ' ', c_custkey % 400) AS name", "false AS is_active")
+    return rules.created(both.where("profile_id % 3 = 0"), both.where("profile_id % 3 <> 0")).select("profile_id", "outcome", "is_active")
+
+
+@query("SELECT c_custkey AS document_id, CASE WHEN c_custkey % 10 = 0 THEN 'not_found' WHEN c_nationkey = 3 THEN 'ok' WHEN c_custkey % 3 < 2 THEN 'forbidden' ELSE 'not_found' END AS outcome, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_nationkey = 3 AND c_custkey % 3 = 0 THEN 'contract' ELSE c_mktsegment END AS document_type, CASE WHEN c_custkey % 10 > 0 AND c_nationkey = 3 AND c_custkey % 3 = 1 THEN 'invoice' END AS suggested_document_type FROM customer")
+def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user asks for changes of every document: some of another's, some gone, some of nothing."""
+    docs = _store(spark, sf_dir)[1].withColumn("suggested_document_type", F.lit(None).cast("string"))
+    asked = docs.select("document_id", F.lit(3).alias("user"), F.expr("IF(document_id % 3 = 0, 'contract', NULL)").alias("document_type"), F.expr("IF(document_id % 3 < 2, 'invoice', NULL)").alias("suggested_document_type"))
+    return store.changed(docs.where("document_id % 10 <> 0"), asked, "document_id").select("document_id", "outcome", "document_type", "suggested_document_type")
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN split_part(text, ' ', 1) WHEN 1 THEN nullif(split_part(text, ' ', 2), '') WHEN 2 THEN 'None' WHEN 3 THEN '12' END AS input FROM documents")
+def classify_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = "split_part(text, ' ', 1)", "split_part(text, ' ', 2)"
+    payload = f"CASE doc_id % 5 WHEN 1 THEN to_json(named_struct('content', concat(' ', {second}))) WHEN 2 THEN '{{\"content\": null}}' WHEN 3 THEN '{{\"content\": 12}}' WHEN 4 THEN '{{}}' END"
+    given = f"CASE doc_id % 5 WHEN 0 THEN concat(' ', {first}, ' ') WHEN 1 THEN ' ' END"
+    return table(spark, sf_dir, "documents").select("doc_id", store.classify_input(f"({given})", f"({payload})").alias("input"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'ok' WHEN 'view' THEN 'ok' ELSE 'unsupported' END AS verdict FROM events")
+def content_type_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr("CASE event_type WHEN 'click' THEN 'Application/PDF' WHEN 'view' THEN 'image/jpg' WHEN 'scroll' THEN 'image/tiff' END")
+    return table(spark, sf_dir, "events").select("event_id", store.content_type_verdict(kind).alias("verdict"))
+
+
+@query(f"WITH {D_STORE} SELECT id, document_id, status FROM analyses WHERE document_id IN (SELECT document_id FROM owned WHERE owner_id = 7)")
+def light_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    analyses, owned = _store(spark, sf_dir)
+    whole = analyses.select("id", "document_id", "status", F.lit("{}").alias("ocr_raw_result"), F.lit("{}").alias("extracted_fields"))
+    return store.listing(store.visible_children(whole, owned, "document_id", 7))
+
+
+@query("SELECT r.route, doc_id AS document_id, 'pending' AS status, 0 AS processing_step, CASE r.route WHEN 'local' THEN 'uploaded' ELSE 'queued' END AS document_status, concat('files/', doc_id % 7, '/redacted_', doc_id, '.pdf') AS redacted FROM documents, (VALUES ('local'), ('full')) r(route)")
+def requested_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    both = jobs.requested(docs, "local").unionByName(jobs.requested(docs, "full"))
+    kept = store.storage_path("files", F.col("document_id") % 7, F.concat(F.lit("in/"), "document_id", F.lit(".pdf")))
+    return both.select("route", "document_id", "status", "processing_step", "document_status", jobs.redacted_path(kept).alias("redacted"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'ocr_failed' ELSE 'ocr_completed' END AS status, CASE WHEN doc_id % 9 = 0 THEN 'OSError: unreadable' END AS error_message, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE len(list_filter(string_split(text, ' '), lambda t: t <> '')) END::BIGINT AS n_words FROM documents")
+def recognised_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stand for files: an engine that reads them word by word, and fails on some."""
+
+    def engine(content: bytes, path: str) -> list:
+        if int(path) % 9 == 0:
+            raise OSError("unreadable")
+        return [[{"text": w, "x": 0, "y": 0, "width": 1, "height": 1} for w in content.decode().split(" ") if w]]
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return jobs.recognised(docs, engine).select("doc_id", "status", "error_message", F.expr("CAST(size(flatten(pages)) AS BIGINT)").alias("n_words"))
+
+
+@query(f"{D_HITS} SELECT conv_id, concat('anonymized_scan ', conv_id, '.tiff') AS filename, count(kind)::BIGINT AS total, count(DISTINCT turn)::BIGINT AS pages FROM hits GROUP BY conv_id")
+def redacted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _found(spark, sf_dir).withColumn("file", F.concat(F.lit("in/scan "), "conv_id", F.lit(".pdf")))
+    return pii.redacted_files(found, "conv_id", "file").select("conv_id", "filename", F.col("total").cast("long").alias("total"), "pages")
+
+
+@query(f"WITH {D_PAGES} SELECT conv_id, turn, word AS text, greatest(0, idx * 120 - 30)::BIGINT AS x, 0::BIGINT AS y FROM w")
+def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as an engine gives them, blank ones among them, on a page with a border."""
+    raw = F.expr("flatten(transform(words, w -> array(named_struct('text', ' ', 'x', w.x, 'y', w.y, 'width', w.width, 'height', w.height), named_struct('text', concat(' ', w.text), 'x', w.x, 'y', w.y, 'width', w.width, 'height', w.height))))")
+    pages = page_words(spark, sf_dir).withColumn("words", raw).withColumn("words", ocr.word_boxes("words"))
+    return T.each(pages, "words", "w").select("conv_id", "turn", "w.text", F.col("w.x").cast("long").alias("x"), F.col("w.y").cast("long").alias("y"))

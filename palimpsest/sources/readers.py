@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 
 FILES = "path string, content binary"
-PAGES = "path string, pages array<array<struct<text:string,x:int,y:int,width:int,height:int>>>, error string"
+PAGES = "array<array<struct<text:string,x:int,y:int,width:int,height:int>>>"
 
 
 def labelled_folders(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -26,21 +26,57 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recognised(docs: DataFrame, engine: Callable[[bytes, str], list] | None = None) -> DataFrame:
-    """Pages of words of each file by an engine (content, path) -> pages; an engine's failure stays in the row's ``error``."""
+    """Pages of words of each row's (path, content) by an engine (content, path) -> pages; other columns stay.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    An engine's failure stays in the row's ``error``, as does a missing content.
+    """
+    kept = [c for c in docs.columns if c != "content"]
+    rows = docs.select(*kept, "content").withColumns({"pages": F.expr(f"CAST(NULL AS {PAGES})"), "error": F.lit(None).cast("string")})
+
+    def one(content: bytes | None, path: str) -> tuple[list, str | None]:
+        if content is None:
+            return [], "there is no file"
+        if engine is None:
+            return [], "no recognition engine is configured"
+        try:
+            return engine(content, path), None
+        except Exception as e:
+            return [], f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages, errors = [], []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    pages.append(engine(bytes(content), path) if engine else [])
-                    errors.append(None if engine else "no recognition engine is configured")
-                except Exception as e:
-                    pages.append([])
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"path": batch["path"], "pages": pages, "error": pd.Series(errors, dtype=object)})
-
-    return docs.select("path", "content").mapInPandas(run, PAGES)
+            got = [one(content, path) for content, path in zip(batch["content"].to_pylist(), batch["path"].to_pylist(), strict=True)]
+            pages = pa.array([p for p, _ in got], batch.schema.field("pages").type)
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pages, pa.array([e for _, e in got], pa.string())], [*kept, "pages", "error"])
+
+    return rows.mapInArrow(run, rows.drop("content").schema)
+
+
+class TooLarge(ValueError):
+    """A page rendered at this zoom has too many pixels."""
+
+
+def zoomed(engine: Callable[[bytes, str, float], list], dpi: int = 150, attempts: int = 3) -> Callable[[bytes, str], list]:
+    """An engine for one page, rendered at a zoom: if that is too large, again at 2/3 of it, thrice at most; 1.5 is the last."""
+
+    def run(content: bytes, path: str) -> list:
+        zoom = dpi / 72
+        for left in reversed(range(attempts)):
+            try:
+                return engine(content, path, zoom)
+            except TooLarge:
+                if not left or zoom <= 1.5:
+                    raise
+                zoom /= 1.5
+        return []
+
+    return run
+
+
+def synthetic_splits(spark: SparkSession, classes: dict[str, str], train: int = 200, valid: int = 60, seed: int = 42) -> DataFrame:
+    """(split, label, i, text): the seeded corpus to train on, and one of another seed to validate."""
+    both = [synthetic_corpus(spark, classes, n, s).withColumn("split", F.lit(name)) for name, n, s in (("train", train, seed), ("valid", valid, seed + 1000))]
+    return both[0].unionByName(both[1]).select("split", "label", "i", "text")
 
 
 def synthetic_corpus(spark: SparkSession, classes: dict[str, str], each: int = 200, seed: int = 42, words: int = 40) -> DataFrame:

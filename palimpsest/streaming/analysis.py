@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from palimpsest.operators import formal, rules
+from palimpsest.operators import jobs, rules
 
-REPORT = ["doc_id", "document_type", "confidence", "profile_name", "total_rules", "error_count", "warning_count", "is_complete", "completeness_score", "status"]
+REPORT = ["doc_id", "document_type", "confidence", "profile_name", "total_rules", "error_count", "warning_count", "is_complete", "completeness_score", "status", "error_message"]
 
 
 def analyse(docs: DataFrame, by_type: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The report of each document, and its columns ``keep``: extraction, rules, scores. Lazy, row by row, no shuffle."""
-    return rules.report(rules.issues(formal.extract(docs), by_type)).withColumn("status", F.lit("completed")).select(*REPORT, *keep)
+    return jobs.analysed(docs, by_type).select(*REPORT, *keep)
 
 
 def start(spark: SparkSession, source: str, sink: str, checkpoint: str, by_type: DataFrame, schema: str = "doc_id long, text string, sent_at timestamp") -> StreamingQuery:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
 from palimpsest.functions import text as T
-from palimpsest.operators import classify, formal, legal, ocr, pii, rules, store
+from palimpsest.operators import classify, formal, jobs, legal, ocr, pii, rules, store
 from palimpsest.sources import readers
 from palimpsest.streaming import analysis
 
@@ -145,3 +145,69 @@ def test_stream_equals_batch(spark, tmp_path):
     analysis.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), by_type).awaitTermination(120)
     got = analysis.latest(spark.read.parquet(str(tmp_path / "out"))).select(*analysis.REPORT)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, analysis.analyse(docs.where("year(sent_at) = 2024").dropDuplicates(["doc_id"]), by_type).collect()))
+
+
+def test_a_bad_pattern_fails_its_documents_alone(spark):
+    held = [("t", "p", 1, "A", "regex_match", "document_text", "error", None, "(", True), ("u", "q", 1, "B", "regex_match", "document_text", "error", None, "(", False)]
+    docs = spark.createDataFrame([("pozew",), (None,)], "text string")
+    by_type = rules.profiles(spark.createDataFrame(held, rules.RULE_SCHEMA).withColumn("document_type", F.expr("IF(document_type = 't', 'lawsuit', 'unknown')")))
+    got = {r.text: (r.status, r.error_message, r.is_complete, r.document_status) for r in jobs.analysed(docs, by_type).collect()}
+    assert got == {"pozew": ("failed", "not a regular expression: (", None, "queued"), None: ("completed", None, False, "processed")}
+
+
+def test_classifier_is_stored_or_not_ready(spark, tmp_path):
+    path = str(tmp_path / "model")
+    docs = spark.createDataFrame([("faktura vat netto brutto",), ("",)], "text string")
+    with pytest.raises(classify.NotReady):
+        classify.load(spark, path)
+    plain = jobs.analysed(docs, rules.profiles(rules.builtin_rules(spark)), lambda rows: classify.stored_or_none(rows, path))
+    keywords = {r.text: r.document_type for r in formal.extract(docs).collect()}
+    assert {r.text: r.document_type for r in plain.collect()} == keywords
+    corpus = readers.synthetic_corpus(spark, {"faktura_vat": "faktura netto brutto vat", "pozew": "powod pozwany sad pozew"}, 10)
+    classify.save(classify.train(corpus), path)
+    got = {r.text: (r.model_type, r.model_confidence is None) for r in classify.stored_or_none(docs, path).collect()}
+    assert got[""][0] is None and got["faktura vat netto brutto"][0] not in (None, "unknown")
+
+
+def test_named_entities_by_language(spark):
+    words = [("Jan", 0, 0, 9, 9), ("de", 10, 0, 9, 9), ("Kowal", 20, 0, 9, 9)]
+    raw = [("kowal  JAN", "PERSON"), ("de", "GPE"), ("de", "placeName")]
+    pages = spark.createDataFrame([("en", words, raw), ("pl", words, raw), (None, words, raw), ("en", words[:1], raw)], f"lang string, words array<{pii.WORD}>, raw array<struct<fragment:string,kind:string>>")
+    rows = pii.personal_data(pages.withColumn("entities", pii.routed("raw", "lang")), entities="entities").collect()
+    got = [[(w.text, w.label[12:-1]) for w in r.found] for r in rows]
+    assert got == [[("Kowal", "IMIE/NAZWISKO"), ("Jan", "IMIE/NAZWISKO")], [("de", "ADRES")], [("de", "ADRES")], []]
+
+
+def test_zoom_falls_until_pages_fit():
+    seen = []
+
+    def engine(least):
+        def run(content, path, zoom):
+            seen.append(round(zoom, 2))
+            if zoom > least:
+                raise readers.TooLarge("pixels")
+            return [path]
+
+        return run
+
+    assert readers.zoomed(engine(1.4))(b"", "a") == ["a"] and seen == [2.08, 1.39]
+    with pytest.raises(readers.TooLarge):
+        readers.zoomed(engine(0.5))(b"", "a")
+    assert seen[2:] == [2.08, 1.39]
+    with pytest.raises(readers.TooLarge):
+        readers.zoomed(engine(0.5), 720)(b"", "a")
+    assert seen[4:] == [10.0, 6.67, 4.44]
+
+
+def test_corpus_splits_differ(spark):
+    rows = readers.synthetic_splits(spark, {"a": "x y z", "b": "u v w"}, 4, 2).collect()
+    assert sorted({(r.split, r.label, r.i) for r in rows}) == [(s, c, i) for s, n in (("train", 4), ("valid", 2)) for c in "ab" for i in range(n)]
+    assert {r.text for r in rows if r.split == "valid"}.isdisjoint({r.text for r in rows if r.split == "train"})
+
+
+def test_missing_files_and_requests(spark):
+    docs = spark.createDataFrame([(1, "a", None), (2, "b", bytearray(b"x"))], "doc_id long, path string, content binary")
+    got = {r.doc_id: (r.status, r.error_message, r.pages) for r in jobs.recognised(docs).collect()}
+    assert got == {1: ("ocr_failed", "there is no file", []), 2: ("ocr_failed", "no recognition engine is configured", [])}
+    with pytest.raises(ValueError):
+        jobs.requested(docs, "post")
