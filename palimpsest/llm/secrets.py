@@ -1,13 +1,15 @@
 """Secret scans: candidates from patterns, false positives removed by a random forest.
 
-Candidates are long unbroken runs with a digit and values that follow a name like ``password`` and a sign. Each has
+Candidates are long unbroken runs with a digit, values that follow a name like ``password`` and a sign, what follows
+``bearer``, the passwords of addresses (``scheme://user:password@host``) and whole blocks of private keys. Each has
 features from its own characters (length, entropy, transitions between kinds of characters, how common its letter
 pairs are), from a small dictionary (share of it that words cover), from its shape (a path, a host, an identifier, a
 known prefix) and from the neighbouring words. The forest, written in numpy, learns them from labelled findings; by
 default from ``example_findings``, which are drawn from stated shapes with a fixed seed and hold no text of any corpus.
 
 Defined cases: null and empty texts have no findings; texts are scanned whole, whatever their length; a secret that
-occurs twice is found twice; overlapping candidates count once; repeated rows give repeated findings; an empty table
+occurs twice is found twice; overlapping candidates count once, key blocks and passwords of addresses before others; a
+key block without its last line is no block; repeated rows give repeated findings; an empty table
 gives no findings. Redacting keeps all columns and rows.
 """
 
@@ -33,7 +35,7 @@ from palimpsest.llm.common import column, text_or_empty
 # Names that announce secrets or harmless hashes, prefixes of issued keys, frequent words.
 NAMES = "password passwd passphrase pwd secret token apikey api_key api-key accesskey access_key access-key secretkey secret_key secret-key privatekey private_key private-key credential credentials auth_token client_secret bearer".split()
 HARMLESS = "sha sha1 sha256 sha512 md5 crc checksum digest hash commit revision rev build uuid guid etag version isbn doi example sample placeholder id ref object blob tree file path url".split()
-PREFIXES = tuple("AKIA ASIA ghp_ gho_ ghs_ ghu_ github_pat_ glpat- sk- sk_live_ rk_live_ pk_live_ xoxb- xoxp- xoxa- AIza SG. eyJ npm_ pypi-".split())
+PREFIXES = tuple("AKIA ASIA ghp_ gho_ ghs_ ghu_ github_pat_ glpat- sk- sk_live_ rk_live_ pk_live_ xoxb- xoxp- xoxa- AIza SG. eyJ npm_ pypi- -----BEGIN".split())
 WORDS = "the and for that with this from have not you are was but all can one had her his out they about which when make like time just know take people into year your good some could them see other than then now look only come over think also back after use two how our work first well way even new want because any these give day most get has him would there their what said each she may will down should through where much before right too means old same tell does set three end put home read hand port large spell add land here must big high such follow act why ask men change went light kind off need house picture try again animal point mother world near build self earth father head stand own page country found answer school grow study still learn plant cover food sun four between state keep eye never last let thought city tree cross farm hard start might story saw far sea draw left late run while press close night real life few north open seem together next white children begin got walk example ease paper group always music those both mark often letter until mile river car feet care second book carry took science eat room friend began idea fish mountain stop once base hear horse cut sure watch color face wood main enough plain girl usual young ready above ever red list though feel talk bird soon body dog family direct pose leave song measure door product black short numeral class wind question happen complete ship area half rock order fire south problem piece told knew pass since top whole king space heard best hour better true during hundred five remember step early hold west ground interest reach fast verb sing listen six table travel less morning ten simple several vowel toward war lay against pattern slow center love person money serve appear road map rain rule govern pull cold notice voice unit power town fine certain fly fall lead cry dark machine note wait plan figure star box noun field rest correct able pound done beauty drive stood contain front teach week final gave green quick develop ocean warm free minute strong special mind behind clear tail produce fact street inch multiply nothing course stay wheel full force blue object decide surface deep moon island foot system busy test record boat common gold possible plane stead dry wonder laugh thousand ago ran check game shape equate hot miss brought heat snow tire bring yes distant fill east paint language among user admin config default service index image data value name type file path model server client update delete insert select".split()
 
 NAME = "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True))
@@ -43,6 +45,10 @@ IN_RUN[[ord(c) for c in string.ascii_letters + string.digits + "_/+.=-"]] = True
 LEAST_RUN = 16
 NAMED = re.compile(rf"(?:{NAME})[\"']?[ \t]{{0,4}}$", re.I)
 VALUE = re.compile(r"(?:=>|:=|[:=])[ \t]{0,4}([\"']?)([^\s\"',;]{6,})")
+BEARER = re.compile(r"[Bb](?:earer|EARER)[ \t]{1,4}([A-Za-z0-9._~+/=-]{16,})")
+IN_ADDRESS = re.compile(r"://[^\s:/@]*+:([^\s/@]{6,}+)@")
+BLOCK_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 NAME_END = re.compile(rf"(?:{NAME})[\"'=:> \t]*$", re.I)
 WORD = re.compile(r"[A-Za-z][A-Za-z_-]*")
 CONTEXT = 48
@@ -59,9 +65,26 @@ def kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys from their first to their last line; what lies between must be long runs, not prose."""
+    ends = [(m.start(), m.end()) for m in BLOCK_END.finditer(text)] if "-----BEGIN" in text else []
+    begins = [(m.start(), m.end()) for m in BLOCK_BEGIN.finditer(text)] if ends else []
+    k = 0
+    for i, (start, body) in enumerate(begins):
+        limit = begins[i + 1][0] if i + 1 < len(begins) else len(text)
+        while k < len(ends) and ends[k][0] < body:
+            k += 1
+        if k < len(ends) and ends[k][0] <= limit:
+            words = text[body : ends[k][0]].split()
+            if sum(map(len, words)) >= LEAST_RUN * max(len(words), 1):
+                yield start, ends[k][1]
+
+
 def candidates(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, whether a name assigns it), in order and apart."""
     found = []
+    sure = sorted([*key_blocks(text), *(m.span(1) for m in IN_ADDRESS.finditer(text))])
+    sure = [s for k, s in enumerate(sure) if not k or s[0] >= sure[k - 1][1]]
     data = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
     reach = 0  # the end of the last value; one that starts within it ends with it, so it is not read again
     for at in np.flatnonzero((data == 61) | (data == 58)).tolist():
@@ -72,6 +95,7 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
             if m:
                 reach = reach if m.start(2) < reach else m.end(2)
                 found.append((m.start(2), reach, True))
+    found += [(*m.span(1), False) for m in BEARER.finditer(text)]
     edges = np.flatnonzero(np.diff(IN_RUN[data], prepend=False, append=False))
     for start, end in edges.reshape(-1, 2)[np.diff(edges)[::2] >= LEAST_RUN].tolist():
         run = text[start:end].rstrip("=.-")
@@ -82,10 +106,13 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
         if len(run) >= LEAST_RUN and (any(c in string.digits for c in run) or run.startswith(PREFIXES)):
             found.append((start, end, False))
     out: list[tuple[int, int, bool]] = []
+    k = 0
     for start, end, named in sorted(found, key=lambda x: (x[0], not x[2], -x[1])):
-        if not out or start >= out[-1][1]:
+        while k < len(sure) and sure[k][1] <= start:
+            k += 1
+        if (not out or start >= out[-1][1]) and (k == len(sure) or end <= sure[k][0]):
             out.append((start, end, named))
-    return out
+    return sorted([*out, *((start, end, True) for start, end in sure)])
 
 
 def describe(value: str, before: str, after: str, assigned: bool) -> list[float]:
@@ -132,6 +159,8 @@ def example_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4))) if r.random() < 0.5 else r.choice(WORDS)
     prose = lambda: " ".join(word() for _ in range(r.randint(2, 5))) + " "
     mixed = string.ascii_letters + string.digits
+    address = lambda: prose() + r.choice(["postgres", "mysql", "https", "amqp", "redis", "mongodb"]) + "://" + r.choice([word(), "user", "admin", ""]) + ":"
+    block = lambda body: "-----BEGIN {0}PRIVATE KEY-----\n{1}\n-----END {0}PRIVATE KEY-----".format(r.choice(["", "RSA ", "EC ", "OPENSSH "]), body)
     secret = [
         lambda: (r.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + r.choice(["234567", "", "0123456789"]), 16), prose(), False),
         lambda: (r.choice(["ghp_", "gho_", "npm_"]) + pick(mixed, 36), prose(), False),
@@ -141,6 +170,10 @@ def example_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
         lambda: (pick(mixed + "+/_-", r.randint(14, 44)), prose() + r.choice(NAMES) + r.choice(["=", ": ", ' = "', '": "']), True),
         lambda: (pick(mixed + "!#%&*?", r.randint(8, 14)), prose() + r.choice(["password", "passwd", "pwd"]) + r.choice(["=", ": "]), True),
         lambda: (base64.b64encode(r.randbytes(30)).decode(), prose() + r.choice(NAMES) + " ", False),
+        lambda: (pick(string.ascii_letters, r.randint(20, 60)), prose() + r.choice(["Bearer ", "Authorization: Bearer "]), False),
+        lambda: (pick(mixed + "!#%&*?", r.randint(8, 24)), address(), True),
+        lambda: (r.choice([word(), word().title()]) + r.choice(["", word().title()]) + pick("!#_" + string.digits, r.randint(2, 5)), address(), True),
+        lambda: (block("\n".join(pick(mixed + "+/", 64) for _ in range(r.randint(3, 26)))), prose() + r.choice(["", "private_key = ", "key: "]), True),
     ]
     harmless = [
         lambda: (hexa(r.choice([32, 40, 64])), prose() + r.choice(HARMLESS[:15]) + r.choice([" ", ": ", "="]), False),
@@ -154,6 +187,9 @@ def example_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
         lambda: (word() + r.choice(["", "ed", "ing"]) + word(), prose() + r.choice(["password", "token", "secret"]) + ": ", True),
         lambda: (r.choice(["2024-01-02T03:04:05", "1.2.3.4.5.6.7.8.9", "10.20.30.40/16-20"]) + pick(string.digits, r.randint(2, 8)), prose(), False),
         lambda: ("-".join([word(), word(), word(), str(r.randint(1, 2030))]), prose(), False),
+        lambda: (r.choice(["", "-"]).join(word() for _ in range(r.randint(4, 6))), prose() + "bearer ", False),
+        lambda: (r.choice(["password", "secret", "changeme", "your_password", "<password>", "${PASSWORD}", "xxxxxxxx", "********", word() + word()]), address(), True),
+        lambda: (block(r.choice(["." * 48, "x" * 64, "<your-private-key>", "REDACTED" * 4])), prose(), True),
     ]
     out = []
     for i in range(n):
