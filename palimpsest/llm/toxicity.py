@@ -2,12 +2,14 @@
 
 A linear classifier over hashed word features learns from confirmed toxic texts and unlabelled texts alone. Its risk
 corrects the unlabelled part for the toxic texts hidden in it, by the class prior, and is kept from turning negative:
-when that part falls below zero, the step goes back instead of on.
+where that part falls below zero, it counts as zero.
 
-Only the fit uses a sample: at most ``POSITIVES`` confirmed and ``UNLABELLED`` other texts, the first by a hash of
-their ids. Features are whole words and their first four to six letters; Spark counts them over the sample, those more
-frequent in confirmed texts stay (at most ``FEATURES``, the size of the model that all executors get). Every text is
-scored as a whole.
+The fit uses every confirmed and every other text. Features are whole words and their first four to six letters; their
+counts over all texts decide which stay: those more frequent in confirmed texts, at most ``FEATURES``, the size of the
+model that all executors get. Texts with the same features are one row with a count. With the logistic loss the risk is
+the greater of two convex functions of the weights, so it has one minimum: L-BFGS finds it, and each evaluation is a
+job that sums losses and slopes over all rows where they lie. What executors get whole: the model and the ids of
+confirmed texts, eight bytes each.
 
 Defined cases: null, empty and letterless texts get the score of the bias alone; texts of any length are read in
 pieces; without confirmed texts every score is the prior; repeated rows give repeated result rows; other columns are
@@ -16,7 +18,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +30,14 @@ from pyspark.sql import functions as F
 from palimpsest.llm.bpe import LETTER, char_classes, hash_tables
 from palimpsest.llm.common import BLOCK_CHARS, column, stored, text_or_empty, text_runs
 
-POSITIVES, UNLABELLED, FEATURES = 4000, 12_000, 2048
+FEATURES = 2048
 LEAST_TEXTS, LEAST_LIFT, LEAST_GAIN = 2, 3.0, 6.0
 PREFIXES = (4, 5, 6)
 FOLDS = 5
 PRIOR = 0.05
+DECAY, BEND = 3e-3, 1e-4
+#: Pairs of a text and a feature that a worker holds before it gives their counts.
+PAIRS = 1 << 19
 
 
 def fold(doc_id: Column) -> Column:
@@ -118,65 +124,158 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n: int, prior: float, rounds: int = 400, rate: float = 0.1, decay: float = 3e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic classifier under the non-negative PU risk.
-
-    rows: the feature numbers of each text; positive: which texts are confirmed, the others are unlabelled.
-    """
-    who = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    what = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-    p, u = positive, ~positive
-    weights = np.zeros(n + 1)
-    weights[n] = np.log(prior / (1 - prior))
-    mean, square = np.zeros(n + 1), np.zeros(n + 1)
-    for step in range(1, rounds + 1):
-        margin = np.bincount(who, weights[what], len(rows)) + weights[n]
+def distinct_pairs(texts: list[str], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text numbers, features) of texts, each pair once, in order."""
+    whos, keys, held, most = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0, PAIRS
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        who, key = np.concatenate(whos), np.concatenate(keys)
+        turn = np.lexsort((key, who))
+        who, key = who[turn], key[turn]
+        fresh = np.append(True, (who[1:] != who[:-1]) | (key[1:] != key[:-1]))[: len(who)]
+        return who[fresh], key[fresh]
+
+    for who, key in features(texts, known):
+        whos.append(who)
+        keys.append(key)
+        held += len(who)
+        if held > most:
+            whos, keys = ([x] for x in merged())
+            held = len(whos[0])
+            most = max(PAIRS, 2 * held)
+    return merged()
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(texts, which are confirmed), about ``BLOCK_CHARS`` code points at a time."""
+    for batch in batches:
+        sizes = column(batch, "size")
+        for a, b in text_runs(sizes):
+            part = batch.slice(a, b - a)
+            yield column(part, "text"), np.array(column(part, "positive"), bool)
+
+
+def feature_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, p, u): how many confirmed and other texts have a feature; keys recur."""
+    held: list[list[np.ndarray]] = [[], []]
+    many = 0
+
+    def give() -> pa.RecordBatch:
+        sides = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in held]
+        keys, at = np.unique(np.concatenate(sides), return_inverse=True)
+        p, u = (np.bincount(x, minlength=len(keys)) for x in np.split(at, [len(sides[0])]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), p, u)], ["key", "p", "u"])
+
+    for texts, positive in slices(batches):
+        who, keys = distinct_pairs(texts)
+        ours = positive[who]
+        held[0].append(keys[ours])
+        held[1].append(keys[~ours])
+        many += len(keys)
+        if many > PAIRS:
+            yield give()
+            held, many = [[], []], 0
+    if many:
+        yield give()
+
+
+def feature_sets(batches: Iterable[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(positive, at, n): how many confirmed or other texts have just the features ``at`` (16 bits each); sets recur."""
+    for batch in batches:
+        seen: Counter[tuple[bool, bytes]] = Counter()
+        for texts, positive in slices([batch]):
+            who, keys = distinct_pairs(texts, known)
+            at = np.searchsorted(known, keys).astype("<u2")
+            ends = np.searchsorted(who, np.arange(len(texts)), "right").tolist()
+            seen.update((p, at[a:b].tobytes()) for p, a, b in zip(positive.tolist(), [0, *ends], ends))  # noqa: B905
+        arrays = [pa.array([p for p, _ in seen], pa.bool_()), pa.array([x for _, x in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["positive", "at", "n"])
+
+
+def sums(batches: Iterable[pa.RecordBatch], weights: np.ndarray) -> np.ndarray:
+    """Over rows (positive, at, n), for confirmed and then for other texts: their number, the sums of the loss if called
+    toxic and if called not toxic, of the chances, of the features and of the chances of features."""
+    n = len(weights) - 1
+    total = np.zeros((2, 4 + 2 * n))
+    for batch in batches:
+        sets = column(batch, "at")
+        what = np.frombuffer(b"".join(sets), "<u2").astype(np.int64)
+        who = np.repeat(np.arange(len(sets)), [len(x) // 2 for x in sets])
+        margin = np.bincount(who, weights[what], len(sets)) + weights[n]
         chance = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-        as_negative = np.logaddexp(0, margin)  # the logistic loss if called not toxic
-        rest = as_negative[u].mean() - prior * as_negative[p].mean()
-        slope = np.zeros(len(rows))
-        if rest >= 0:
-            slope[p] = prior * (chance[p] - 1) / p.sum() - prior * chance[p] / p.sum()
-            slope[u] = chance[u] / u.sum()
-        else:
-            slope[p] = prior * chance[p] / p.sum()
-            slope[u] = -chance[u] / u.sum()
-        change = np.append(np.bincount(what, slope[who], n), slope.sum()) + decay * np.append(weights[:n], 0)
-        mean, square = 0.9 * mean + 0.1 * change, 0.999 * square + 0.001 * change**2
-        weights = weights - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        texts = np.array(column(batch, "n"), np.float64)
+        positive = np.array(column(batch, "positive"), bool)
+        for k, ours in enumerate((positive, ~positive)):
+            times = texts * ours
+            total[k, :4] += times.sum(), times @ np.logaddexp(0, -margin), times @ np.logaddexp(0, margin), times @ chance
+            total[k, 4 : 4 + n] += np.bincount(what, times[who], n)
+            total[k, 4 + n :] += np.bincount(what, (times * chance)[who], n)
+    return total
+
+
+def lowest(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, close: float = 1e-4, rounds: int = 200, memory: int = 20) -> np.ndarray:
+    """The minimum of a smooth convex function that gives its value and slope, by L-BFGS."""
+    value, slope = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(slope).max() <= close:
+            break
+        way, shares = slope.copy(), []
+        for s, y in reversed(past):
+            shares.append((s @ way) / (s @ y))
+            way -= shares[-1] * y
+        if past:
+            way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, y), share in zip(past, reversed(shares)):  # noqa: B905
+            way += (share - (y @ way) / (s @ y)) * s
+        step = 1.0
+        while True:
+            moved = x - step * way
+            new, its_slope = f(moved)
+            if new <= value - 1e-4 * step * (slope @ way) or step < 1e-9:
+                break
+            step /= 2
+        if new >= value:
+            break
+        s, y = moved - x, its_slope - slope
+        past = [*past, (s, y)][-memory:] if s @ y > 0 else past
+        x, value, slope = moved, new, its_slope
+    return x
+
+
+def fit_nnpu(totals: Callable[[np.ndarray], np.ndarray], n: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic classifier with the least non-negative PU risk; totals: ``sums`` over all texts.
+
+    The risk is that of confirmed texts, plus that of the others as far as it exceeds what the toxic ones hidden in them
+    explain (the rest), if that is above zero; smooth within about ``BEND`` of zero, so it stays convex.
+    """
+
+    def risk(weights: np.ndarray) -> tuple[float, np.ndarray]:
+        p, u = (row / row[0] for row in totals(weights))
+        rest = u[2] - prior * p[2]
+        share = np.exp(-np.logaddexp(0, -rest / BEND))
+        caught = prior * np.append(p[4 + n :] - p[4 : 4 + n], p[3] - 1)
+        called = np.append(u[4 + n :], u[3]) - prior * np.append(p[4 + n :], p[3])
+        held = np.append(weights[:n], 0)
+        return prior * p[1] + BEND * np.logaddexp(0, rest / BEND) + DECAY / 2 * held @ held, caught + share * called + DECAY * held
+
+    weights = lowest(risk, np.append(np.zeros(n), np.log(prior / (1 - prior))))
     return weights[:n], float(weights[n])
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Labels of the held-out fold are never read."""
     usable = labels.select(F.col("doc_id").cast("long").alias("id"), "toxic").where((fold(F.col("id")) > 0) & F.col("toxic").isNotNull())
-    order = F.xxhash64("id", F.lit("nnpu"))
-    confirmed = usable.where("toxic = 1").select("id").distinct().orderBy(order).limit(POSITIVES).withColumn("positive", F.lit(True))
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null")
-    others = ids.distinct().join(F.broadcast(confirmed), "id", "left_anti").orderBy(order).limit(UNLABELLED).withColumn("positive", F.lit(False))
+    confirmed = usable.where("toxic = 1").select("id").distinct().withColumn("positive", F.lit(True))
     if prior is None:
         share = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         prior = min(max(share or PRIOR, 1e-3), 0.5)
-    chosen = stored(confirmed.unionByName(others), "nnpu-sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "id").select("positive", "text")
-
-    def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[int, list[np.ndarray]] = {}
-            for who, keys in features(column(batch, "text")):
-                turn = np.argsort(who, kind="stable")
-                cuts = np.flatnonzero(np.diff(who[turn])) + 1
-                for part in np.split(turn, cuts):
-                    if len(part):
-                        found.setdefault(int(who[part[0]]), []).append(keys[part])
-            lists = [np.unique(np.concatenate(found[i])).view(np.int64) if i in found else np.zeros(0, np.int64) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("positive")), pa.array(lists, pa.list_(pa.int64()))], ["positive", "keys"])
-
-    sample = stored(texts.mapInArrow(extract, "positive boolean, keys array<bigint>"), "nnpu-features")
-    sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    marked = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id is not null").join(F.broadcast(confirmed), "id", "left")
+    texts = marked.select(F.coalesce("positive", F.lit(False)).alias("positive"), "text", F.length("text").alias("size"))
+    sizes = {r["positive"]: r["n"] for r in texts.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    counts = sample.select("positive", F.explode("keys").alias("key")).groupBy("key").agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("u"))
+    counts = texts.mapInArrow(feature_counts, "key long, p long, u long").groupBy("key").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     # Texts expected if the feature were as common in confirmed texts as in the others, and the log-likelihood gain.
     p, expected = F.col("p"), sizes[True] * (F.col("u") + 0.5) / sizes[False]
     gain = p * F.log(p / expected) - (p - expected)
@@ -185,17 +284,16 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Mod
     if not len(keys):
         return Model(keys, np.zeros(0), float(np.log(prior / (1 - prior))))
     sent = docs.sparkSession.sparkContext.broadcast(keys)
+    sets = texts.mapInArrow(lambda batches: feature_sets(batches, sent.value), "positive boolean, at binary, n long")
+    rows = stored(sets.groupBy("positive", "at").agg(F.sum("n").alias("n")).sortWithinPartitions("positive", "at"), "nnpu-rows")
 
-    def reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.array(x, np.int64).view(np.uint64) for x in column(batch, "keys")]
-            at = [np.minimum(np.searchsorted(sent.value, x), len(sent.value) - 1) for x in lists]
-            kept = [np.sort(a[sent.value[a] == x]) for a, x in zip(at, lists, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("positive")), pa.array(kept, pa.list_(pa.int32()))], ["positive", "at"])
-
-    rows = sample.mapInArrow(reduce, "positive boolean, at array<int>").collect()
-    rows.sort(key=lambda r: (r["positive"], r["at"]))
-    weights, bias = fit_nnpu([np.array(r["at"], np.int64) for r in rows], np.array([r["positive"] for r in rows]), len(keys), prior)
+    def totals(weights: np.ndarray) -> np.ndarray:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([sums(batches, weights).tobytes()], pa.binary())], ["sums"])
+
+        return sum(np.frombuffer(r["sums"]).reshape(2, -1) for r in rows.mapInArrow(run, "sums binary").collect())
+
+    weights, bias = fit_nnpu(totals, len(keys), prior)
     return Model(keys, weights, bias)
 
 
