@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Code points that the vectorised text kernels take at a time; bounds a worker's memory.
 BLOCK_CHARS = 1 << 18
+#: Bytes of a batch that Spark sends to a Python worker, which else has up to 10,000 rows of any length.
+BATCH_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound batches for Python workers by bytes in this session, unless it has its own bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def parallel(spark: SparkSession) -> int:
     """Partitions for a shuffle of a whole table."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
