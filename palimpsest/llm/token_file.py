@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import Encoder, byte_alphabet, merges_of
-from palimpsest.llm.common import column, parallel, stored, text_or_empty
+from palimpsest.llm.common import bound_batches, column, parallel, stored, text_or_empty
 
 #: Longer blocks pack better, more blocks in a frame code faster.
 BLOCK_IDS = 2048
@@ -44,6 +44,8 @@ STEP, MOST = 24, 1 << 15
 #: Hits and trials that each trust starts with.
 PRIOR = np.array([[2, 20], [8, 20], [13, 20], [17, 20]])
 FRAME_SCHEMA = "part int, frame long, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, crcs array<long>, data array<binary>"
+#: Unused ids at the ends of rows that are transposed: rows a power of two apart share few cache lines.
+GAP = 32
 
 
 class DamagedFile(ValueError):
@@ -78,9 +80,12 @@ class Lanes:
     def learn(self, ids: np.ndarray, trust: np.ndarray, right: np.ndarray) -> None:
         """Count what the steps since the last time have shown; a row of each array is a step."""
         self.freq += STEP * np.bincount((self.classes + (ids >> 8)).reshape(-1), minlength=256 * self.n).reshape(self.n, 256)
-        at = (self.quad + trust).reshape(-1)
-        self.tried += np.bincount(at, minlength=8 * self.n)
-        self.hits += np.bincount(at[right.reshape(-1)], minlength=8 * self.n)
+        at = self.quad + trust
+        at <<= 1
+        at |= right
+        seen = np.bincount(at.reshape(-1), minlength=16 * self.n)
+        self.tried += seen[::2] + seen[1::2]
+        self.hits += seen[1::2]
         old = self.tried > 255
         self.tried[old] >>= 1
         self.hits[old] >>= 1
@@ -92,6 +97,8 @@ class Lanes:
         return np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), self.width)
 
 
+#: The trust after a prediction with trust 0 to 3 that held, and of a new one.
+NEXT = np.array([1, 2, 3, 3, 0], np.int32)
 MASK = np.uint32((1 << TABLE_BITS) - 1)
 FIRST, SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
@@ -134,14 +141,13 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         x = ids[first:end].astype(np.int32, copy=False)
         past = np.concatenate([before, x])
         before = past[-2:]
-        place = contexts(past[1:-1], past[:-2]) + lanes.base
+        place = (contexts(past[1:-1], past[:-2]) + lanes.base).astype(np.intp)
         entry = np.empty((end - first, 2 * n), np.int32)
         kept = np.concatenate([x, x], 1) << 2
         for k in range(end - first):
-            e = lanes.table.take(place[k])
-            entry[k] = e
+            e = lanes.table.take(place[k], out=entry[k], mode="wrap")
             fresh = kept[k]
-            lanes.table.put(place[k], np.where((e ^ fresh) < 4, np.minimum(e + 1, e | 3), fresh), "wrap")
+            lanes.table[place[k]] = fresh | NEXT.take(np.minimum(e ^ fresh, 4), mode="wrap")
         trust, right = entry & 3, (entry >> 2) == np.concatenate([x, x], 1)
         weight = lanes.weight.take(lanes.quad + trust)
         start, size, total = intervals(lanes, x, right, weight)
@@ -189,7 +195,7 @@ def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
     code = data[:, 0] << WORD | data[:, 1]
     lanes = Lanes(n)
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    out = np.zeros((steps, n), np.int32)
+    out = np.zeros((steps, n + GAP), np.uint16)[:, :n]
     x, twice = np.zeros(n, np.int32), np.zeros(2 * n, np.int32)
     place, behind = np.zeros(2 * n, np.uint32), np.zeros(n, np.uint32)
     for first, end in chunks(steps):
@@ -203,7 +209,8 @@ def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
             behind = x.view(np.uint32) * SECOND
             place &= MASK
             place += lanes.base
-            e = lanes.table.take(place)
+            at_table = place.astype(np.intp)
+            e = lanes.table.take(at_table)
             guess, sure = e >> 2, e & 3
             weight = lanes.weight.take(lanes.quad + sure)
             one, two = weight[:n], weight[n:]
@@ -223,14 +230,15 @@ def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
             named = r1 | r2
             size = np.where(named, one * r1 + two * r2, each)
             start = np.where(named, one * ~r1, both + rest - into + inside * each)
-            lanes.table.put(place, np.where(ok, np.minimum(e + 1, e | 3), twice << 2), "wrap")
+            fresh = twice << 2
+            lanes.table[at_table] = fresh | NEXT.take(np.minimum(e ^ fresh, 4), mode="wrap")
             low += start.astype(np.uint64) * span
             span *= size.astype(np.uint64)
             go, _ = narrowed(low, span)
             code[go] = code[go] << WORD | flat[np.minimum(at[go], last[go])]
             at[go] += 1
             out[first + k], trust[k], right[k] = x, sure, ok
-        lanes.learn(out[first:end], trust, right)
+        lanes.learn(out[first:end].astype(np.int32), trust, right)
     return out
 
 
@@ -246,10 +254,11 @@ def pack(ids: np.ndarray) -> bytes:
     lengths = np.diff(ends)
     blocks = []
     if n:
-        whole = np.zeros((int(lengths.max()), n), np.int32)
+        steps = int(lengths.max())
+        whole = np.zeros((n, steps + GAP), np.uint16)[:, :steps]
         for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):  # noqa: B905
-            whole[: b - a, i] = ids[a:b]
-        blocks = encode_blocks(whole)
+            whole[i, : b - a] = ids[a:b]
+        blocks = encode_blocks(np.ascontiguousarray(whole.T))
     raw = ids.astype("<u4", copy=False)
     head = b"".join(struct.pack("<IHI", len(b), int(m), zlib.crc32(raw[e - m : e].tobytes())) for b, m, e in zip(blocks, lengths, ends[1:], strict=True))
     return MAGIC + struct.pack("<I", n) + head + b"".join(blocks)
@@ -293,7 +302,9 @@ def library_encoder(spec: bytes) -> Encoder:
         model, alphabet = tk.model, {b: c for c, b in byte_alphabet().items()}
 
         def ask(words: list[str]) -> list[list[int]]:
-            return [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(alphabet))] for w in words]
+            # UTF-8 has no byte 255, so it parts the words while all are translated at once.
+            whole = b"\xff".join(map(str.encode, words)).decode("latin-1").translate(alphabet)
+            return [[t.id for t in model.tokenize(w)] for w in whole.split(alphabet[255])] if words else []
 
         _library.clear()
         _library[spec] = Encoder(merges_of(spec), ask)
@@ -353,6 +364,7 @@ def write_file(docs: DataFrame, spec: bytes, end_id: int = 2, id_col: str = "doc
     Rows are dealt by ranges of doc_id, so file ``part`` precedes file ``part + 1`` and nothing needs a global sort.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(spec)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +396,7 @@ def read_file(frames: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     Files start where the files before them end: one row a file, not one a document, is summed for that.
     """
+    bound_batches(frames.sparkSession)
     sizes = frames.groupBy("part").agg(F.sum("n_ids").alias("n"))
     offsets = sizes.select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
     arrow = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
