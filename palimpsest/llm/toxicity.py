@@ -36,6 +36,8 @@ PREFIXES = (4, 5, 6)
 FOLDS = 5
 PRIOR = 0.05
 DECAY, BEND = 3e-3, 1e-4
+#: With few confirmed texts decay is this over their number: weights that fit them alone would explain all other texts.
+FEW = 1.0
 #: Pairs of a text and a feature that a worker holds before it gives their counts.
 PAIRS = 1 << 19
 
@@ -251,13 +253,15 @@ def fit_nnpu(totals: Callable[[np.ndarray], np.ndarray], n: int, prior: float) -
     """
 
     def risk(weights: np.ndarray) -> tuple[float, np.ndarray]:
-        p, u = (row / row[0] for row in totals(weights))
+        found = totals(weights)
+        p, u = (row / row[0] for row in found)
+        decay = max(DECAY, FEW / found[0, 0])
         rest = u[2] - prior * p[2]
         share = np.exp(-np.logaddexp(0, -rest / BEND))
         caught = prior * np.append(p[4 + n :] - p[4 : 4 + n], p[3] - 1)
         called = np.append(u[4 + n :], u[3]) - prior * np.append(p[4 + n :], p[3])
         held = np.append(weights[:n], 0)
-        return prior * p[1] + BEND * np.logaddexp(0, rest / BEND) + DECAY / 2 * held @ held, caught + share * called + DECAY * held
+        return prior * p[1] + BEND * np.logaddexp(0, rest / BEND) + decay / 2 * held @ held, caught + share * called + decay * held
 
     weights = lowest(risk, np.append(np.zeros(n), np.log(prior / (1 - prior))))
     return weights[:n], float(weights[n])
