@@ -321,11 +321,14 @@ class Encoder:
 
     def __init__(self, merges: Merges, encode_words=None):
         self.m = merges
-        self.machine = Transducer(merges)
         self.encode_words = encode_words or (lambda words: [self.machine.word(w.encode()) for w in words])
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
         self._clear()
 
+    @cached_property
+    def machine(self) -> Transducer:
+        return Transducer(self.m)
+
     def _clear(self) -> None:
         self.memo, self.known = Memo(MEMO_BITS), 0
         self.offset, self.count, self.place, self.size = (np.zeros(1 << 12, np.int64) for _ in range(4))
@@ -334,7 +337,11 @@ class Encoder:
 
     @staticmethod
     def _room(held: np.ndarray, used: int, end: int) -> np.ndarray:
-        return held if end <= len(held) else np.concatenate([held[:used], np.zeros(max(end, 2 * len(held)) - used, held.dtype)])
+        if end <= len(held):
+            return held
+        wider = np.zeros(max(end, 2 * len(held)), held.dtype)
+        wider[:used] = held[:used]  # the rest takes no memory until it is used
+        return wider
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(where each word's ids begin, how many), put behind those that are kept."""
@@ -364,7 +371,7 @@ class Encoder:
         """Whether the pre-tokens, which follow one another, are those that the memo holds under the slots."""
         ok = (slot >= 0) & (self.size[slot] == sizes)
         at = np.repeat(np.where(ok, self.place[slot], 0) - begin, sizes) + np.arange(len(points))
-        wrong = np.flatnonzero(self.letters[np.minimum(at, len(self.letters) - 1)] != points)
+        wrong = np.flatnonzero(self.letters.take(at, mode="clip") != points)
         ok[np.searchsorted(begin, wrong, "right") - 1] = False
         return ok
 
@@ -380,7 +387,7 @@ class Encoder:
         end = np.append(begin[1:], len(points))
         words, up, down = hash_tables()
         sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(words[points] * up[: len(points)], out=sums[1:])
+        np.cumsum(words.take(points, mode="clip") * up[: len(points)], out=sums[1:])
         keys = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)
         keys |= np.uint64(1)
         kept = end - begin <= MEMO_CHARS
@@ -401,7 +408,7 @@ class Encoder:
         if len(apart):
             offset[apart], count[apart] = self._encoded([whole[s:e] for s, e in zip(begin[apart].tolist(), end[apart].tolist(), strict=True)])
         ends = np.cumsum(count)
-        ids = self.pool[np.repeat(offset - (ends - count), count) + np.arange(ends[-1])]
+        ids = self.pool.take(np.repeat(offset - (ends - count), count) + np.arange(ends[-1]), mode="clip")
         upto = np.append(0, ends)
         cuts = upto[np.searchsorted(begin, np.append(hard, len(points)))]
         return ids, np.diff(cuts)

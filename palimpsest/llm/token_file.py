@@ -5,8 +5,9 @@ arithmetic step from a mixture of three predictors: the id that followed the las
 followed the last id (order 1), and adaptive frequencies of ids in classes of 256 (order 0). Predictions change with
 every id; how much the first two weigh, which follows how often predictions of the same trust have held so far in the
 block, and the frequencies are fixed anew after 16, 32, 64, ... and then every ``RENEW`` ids. So the encoder works out
-the intervals of all ids in between at once, and the decoder finds a class by one look into its slots. Blocks do not
-depend on each other, and numpy codes all blocks of a frame in lockstep, one lane for each.
+the intervals of many ids at once, and the decoder finds a class by one look into its slots. The encoder knows all ids
+beforehand and gets the predictions by a sort; only the decoder keeps tables. Blocks do not depend on each other, and
+numpy codes all blocks of a frame in lockstep, one lane for each.
 
 A frame is a row of the file: an index of whole documents, and packs of blocks with their sizes and CRC-32s. Files are
 Parquet, written through Spark's commit protocol, so lost or repeated tasks leave no partial files. A document of any
@@ -18,9 +19,11 @@ that share a doc_id in the order of their texts); ids from 0 to 65,535, others r
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,15 @@ from palimpsest.llm.common import bound_batches, column, parallel, stored, text_
 #: Longer blocks pack better, more blocks in a frame code faster.
 BLOCK_IDS = 2048
 FRAME_IDS = BLOCK_IDS * 2048
-MAGIC = b"PTF2"
+MAGIC = b"PTF3"
 #: Entries of a block's table for each order, and slots of the order-0 distribution, as powers of two.
 TABLE_BITS, SLOT_BITS = 10, 12
+#: What the order-0 distribution weighs in the mixture.
+PLAIN = 1 << (SLOT_BITS + 8)
 #: Steps after which the weights are fixed anew: soon at first, then every ``RENEW``.
 RENEW = 256
+#: Steps, or blocks, that the encoder works on at once: few, so that they stay in a core's cache.
+AT_ONCE = 16
 #: Weight of an id among the counts of classes, which are halved above ``MOST``.
 STEP, MOST = 24, 1 << 15
 #: Hits and trials that each trust starts with.
@@ -58,34 +65,38 @@ class Lanes:
     def __init__(self, lanes: int):
         self.n = lanes
         row = np.arange(lanes)
-        both = np.arange(2 * lanes)
-        self.base = (both << TABLE_BITS).astype(np.uint32)
-        self.quad, self.classes, self.slots = (both << 2).astype(np.int32), (row << 8).astype(np.int32), (row << SLOT_BITS).astype(np.int32)
-        self.table = np.zeros(2 * lanes << TABLE_BITS, np.int32)  # predicted id and trust, 0 to 3
-        self.freq = np.ones((lanes, 256), np.int64)
+        self.quad, self.classes, self.slots = (np.arange(2 * lanes) << 2).astype(np.int32), (row << 8).astype(np.int32), (row << SLOT_BITS).astype(np.int32)
+        self.freq = np.ones((lanes, 256), np.int32)
         self.hits, self.tried = (np.tile(PRIOR[:, k], 2 * lanes) for k in (0, 1))
         self._fix()
 
     def _fix(self) -> None:
-        """Fix the order-0 distribution (2 ** SLOT_BITS slots) and the weights of both predictions for the next steps."""
-        full = self.freq.sum(1) > MOST
-        self.freq[full] = (self.freq[full] >> 1) | 1
-        width = 1 + self.freq * ((1 << SLOT_BITS) - 256) // self.freq.sum(1, keepdims=True)
-        width[np.arange(self.n), width.argmax(1)] += (1 << SLOT_BITS) - width.sum(1)
-        self.upto = (np.cumsum(width, 1) - width).astype(np.int32).reshape(-1)
-        self.width = width.astype(np.int32).reshape(-1)
+        """Fix the order-0 distribution (2 ** SLOT_BITS slots) and the weights of both predictions for the next steps.
+
+        Single products of floats round alike everywhere, so the decoder finds the encoder's widths.
+        """
+        total = self.freq.sum(1)
+        full = total > MOST
+        if full.any():
+            self.freq[full] = (self.freq[full] >> 1) | 1
+            total[full] = self.freq[full].sum(1)
+        each = np.float32((1 << SLOT_BITS) - 256) / total.astype(np.float32)
+        width = (self.freq.astype(np.float32) * each[:, None]).astype(np.int32)
+        width += 1
+        width[np.arange(self.n), self.freq.argmax(1)] += (1 << SLOT_BITS) - width.sum(1, dtype=np.int32)
+        upto = np.cumsum(width, 1, dtype=np.int32)
+        upto -= width
+        self.share = (upto.reshape(-1).view(np.uint32) << np.uint32(SLOT_BITS + 8)) | width.reshape(-1).view(np.uint32)
         odds = (self.hits << (SLOT_BITS + 8)) // (self.tried - self.hits)
-        self.weight = np.clip(odds, 1 << SLOT_BITS, 48 << (SLOT_BITS + 8)).astype(np.int32)
-
-    def learn(self, ids: np.ndarray, trust: np.ndarray, right: np.ndarray) -> None:
-        """Count what the steps since the last time have shown; a row of each array is a step."""
-        self.freq += STEP * np.bincount((self.classes + (ids >> 8)).reshape(-1), minlength=256 * self.n).reshape(self.n, 256)
-        at = self.quad + trust
-        at <<= 1
-        at |= right
-        seen = np.bincount(at.reshape(-1), minlength=16 * self.n)
-        self.tried += seen[::2] + seen[1::2]
-        self.hits += seen[1::2]
+        self.weight = np.clip(odds, 1 << SLOT_BITS, 48 * PLAIN).astype(np.int32)
+
+    def learn(self, spots: np.ndarray, tried: np.ndarray, held: np.ndarray) -> None:
+        """Count what the steps since the last time have shown: the places of their classes, and how often each weight was tried and held."""
+        counts = np.bincount(spots.reshape(-1), minlength=256 * self.n).astype(np.int32)
+        counts *= STEP
+        self.freq += counts.reshape(self.n, 256)
+        self.tried += tried
+        self.hits += held
         old = self.tried > 255
         self.tried[old] >>= 1
         self.hits[old] >>= 1
@@ -94,13 +105,13 @@ class Lanes:
 
     def slot_classes(self) -> np.ndarray:
         """The class of every slot of every lane."""
-        return np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), self.width)
+        return np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), self.share & OWN)
 
 
-#: The trust after a prediction with trust 0 to 3 that held, and of a new one.
-NEXT = np.array([1, 2, 3, 3, 0], np.int32)
 MASK = np.uint32((1 << TABLE_BITS) - 1)
 FIRST, SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+#: An entry of ``Lanes.share``: 256 times the slots before a class in its upper bits, its own slots in the lower ones.
+OWN, BEFORE = np.uint32((1 << SLOT_BITS) - 1), np.uint32(SLOT_BITS)
 
 
 def contexts(ids: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -116,90 +127,129 @@ def chunks(steps: int) -> Iterator[tuple[int, int]]:
         at, size = at + size, min(max(size, at + size), RENEW)
 
 
-LOW_WORD, WORD, ONE = np.uint64((1 << 32) - 1), np.uint64(32), np.uint64(1)
-
-
-def narrowed(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lanes whose span is below a word, their settled words): shifts these out of low and span."""
-    go = (span <= LOW_WORD).nonzero()[0]
-    at, wide = low.take(go), span.take(go)
-    crossing = (at ^ (at + wide - ONE)) > LOW_WORD
-    if crossing.any():
-        wide[crossing] = (~at[crossing] + ONE) & LOW_WORD
-    low[go], span[go] = at << WORD, wide << WORD
-    return go, at >> WORD
+LOW_WORD, WORD = np.uint64((1 << 32) - 1), np.uint64(32)
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """ids: a row for each step, a column for each block."""
-    steps, n = ids.shape
+    """ids: a row for each block, a column for each step."""
+    n, steps = ids.shape
     lanes = Lanes(n)
-    out, at, row = np.zeros(n * (steps + 4), ">u4"), np.zeros(n, np.int64), np.arange(n) * (steps + 4)
+    seen1, seen2 = foreseen(ids)
+    lower = np.ascontiguousarray((ids & 255).astype(np.uint8).T)
+    room = steps + 4
+    out, at = np.zeros(n * room, np.uint32), np.arange(n) * room
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    before = np.zeros((2, n), np.int32)
     for first, end in chunks(steps):
-        x = ids[first:end].astype(np.int32, copy=False)
-        past = np.concatenate([before, x])
-        before = past[-2:]
-        place = (contexts(past[1:-1], past[:-2]) + lanes.base).astype(np.intp)
-        entry = np.empty((end - first, 2 * n), np.int32)
-        kept = np.concatenate([x, x], 1) << 2
-        for k in range(end - first):
-            e = lanes.table.take(place[k], out=entry[k], mode="wrap")
-            fresh = kept[k]
-            lanes.table[place[k]] = fresh | NEXT.take(np.minimum(e ^ fresh, 4), mode="wrap")
-        trust, right = entry & 3, (entry >> 2) == np.concatenate([x, x], 1)
-        weight = lanes.weight.take(lanes.quad + trust)
-        start, size, total = intervals(lanes, x, right, weight)
-        total, start, size = total.astype(np.uint64), start.astype(np.uint64), size.astype(np.uint64)
-        for k in range(end - first):
-            span //= total[k]
-            low += start[k] * span
-            span *= size[k]
-            go, words = narrowed(low, span)
-            out[row[go] + at[go]] = words
-            at[go] += 1
-        lanes.learn(x, trust, right)
+        tried, held = np.zeros(8 * n, np.int64), np.zeros(8 * n, np.int64)
+        spots = lanes.classes[:, None] + (ids[:, first:end] >> 8)
+        shares = np.ascontiguousarray(lanes.share.take(spots, mode="wrap").T)
+        for begin in range(first, end, AT_ONCE):
+            rows = slice(begin, min(begin + AT_ONCE, end))
+            start, size, total = intervals(lanes, lower[rows], shares[begin - first : rows.stop - first], seen1[rows], seen2[rows])
+            for k in range(len(total)):
+                span //= total[k]
+                more = start[k] * span
+                low += more
+                span *= size[k]
+                over = (low < more).nonzero()[0]
+                if len(over):
+                    spot = at.take(over) - 1
+                    while len(spot):  # carry into the words before
+                        word = out.take(spot) + np.uint32(1)
+                        out[spot] = word
+                        spot = spot[word == 0] - 1
+                go = (span <= LOW_WORD).nonzero()[0]
+                settled, spot = low.take(go), at.take(go)
+                out[spot] = settled >> WORD
+                low[go] = settled << WORD
+                span[go] = span.take(go) << WORD
+                at[go] = spot + 1
+        for quad, seen in ((lanes.quad[:n], seen1[first:end]), (lanes.quad[n:], seen2[first:end])):
+            counts = np.bincount(((quad << 1) + seen).reshape(-1), minlength=16 * n)
+            tried += counts[::2] + counts[1::2]
+            held += counts[1::2]
+        lanes.learn(spots, tried, held)
     for _ in range(2):
-        out[row + at] = low >> WORD
+        out[at] = low >> WORD
         at += 1
         low <<= WORD
-    return [out[i * (steps + 4) : i * (steps + 4) + m].tobytes() for i, m in enumerate(at.tolist())]
+    return [out[i * room : m].astype(">u4").tobytes() for i, m in enumerate(at.tolist())]
+
 
+def foreseen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the order-1 and order-2 predictions of every step, a row each: twice the trust, and 1 if it will hold.
 
-def intervals(lanes: Lanes, x: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    The encoder knows all ids, so it needs no table: sorted by place and step, each visit to a place follows the one
+    whose id it finds there.
+    """
+    n, steps = ids.shape
+    bits = np.uint32(max(steps - 1, 1).bit_length())
+    when = np.arange(steps, dtype=np.uint32)
+    out = [np.empty((n, steps + GAP), np.uint8)[:, :steps] for _ in range(2)]
+    for begin in range(0, n, AT_ONCE):
+        x = ids[begin : begin + AT_ONCE]
+        row = (np.arange(len(x)) * steps)[:, None]
+        past = np.concatenate([np.zeros((len(x), 2), x.dtype), x], 1)
+        for places, result in zip(np.split(contexts(past[:, 1:-1], past[:, :-2]), 2, axis=1), out, strict=True):
+            key = np.sort(places << bits | when, axis=1)
+            back = (key & np.uint32((1 << int(bits)) - 1)) + row
+            found = x.reshape(-1).take(back)
+            same = np.zeros(x.shape, bool)
+            np.equal(key[:, 1:] >> bits, key[:, :-1] >> bits, out=same[:, 1:])
+            holds = found == 0  # as an empty table predicts
+            follow = same[:, 1:]
+            holds[:, 1:] &= ~follow
+            holds[:, 1:] |= follow & (found[:, 1:] == found[:, :-1])
+            once = np.zeros((len(x), steps + 2), bool)
+            np.logical_and(follow, holds[:, :-1], out=once[:, 3:])
+            twice = once[:, 2:] & once[:, 1:-1]
+            trust = once[:, 2:].view(np.uint8) + twice + (twice & once[:, :-2])
+            seen = np.empty(x.size, np.uint8)
+            seen[back] = trust << 1 | holds
+            result[begin : begin + AT_ONCE] = seen.reshape(x.shape)
+    return np.ascontiguousarray(out[0].T), np.ascontiguousarray(out[1].T)
+
+
+def intervals(lanes: Lanes, lower: np.ndarray, share: np.ndarray, seen1: np.ndarray, seen2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, size, total) of ids in the mixture: order 1's prediction, then order 2's, then the order-0 distribution.
 
-    An id that a prediction names has that prediction's share; if both name it, both shares, which are neighbours.
+    lower, share: the ids' last eight bits, and what the order-0 distribution has for their classes. An id that a
+    prediction names has that prediction's share; if both name it, both shares, which are neighbours.
     """
     n = lanes.n
-    one, two = weight[..., :n], weight[..., n:]
-    r1, r2 = right[..., :n], right[..., n:]
-    at = lanes.classes + (x >> 8)
-    each = lanes.width.take(at)
+    one = lanes.weight.take(lanes.quad[:n] + (seen1 >> 1), mode="wrap")
+    two = lanes.weight.take(lanes.quad[n:] + (seen2 >> 1), mode="wrap")
     both = one + two
-    named = r1 | r2
-    size = np.where(named, one * r1 + two * r2, each)
-    start = np.where(named, one * ~r1, both + (lanes.upto.take(at) << 8) + (x & 255) * each)
-    return start, size, both + (1 << (SLOT_BITS + 8))
+    size = (share & OWN).view(np.int32)
+    start = (share >> BEFORE).view(np.int32)
+    start += both
+    start += lower * size
+    named = np.flatnonzero((seen1 | seen2) & 1)
+    r1, r2 = (s.reshape(-1).take(named) & 1 for s in (seen1, seen2))
+    first = one.reshape(-1).take(named)
+    size.reshape(-1)[named] = first * r1 + two.reshape(-1).take(named) * r2
+    start.reshape(-1)[named] = first * (1 - r1)
+    both += np.int32(PLAIN)
+    return start.astype(np.uint64), size.astype(np.uint64), both.astype(np.uint64)
 
 
 def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
     """The ids of blocks of ``steps`` ids each: a row for each step."""
     n = len(blocks)
     width = max((len(b) for b in blocks), default=0) // 4 + 4
-    data = np.zeros((n, width), np.uint64)
+    data = np.zeros((n, width), np.uint32)
     for i, b in enumerate(blocks):
         data[i, : len(b) // 4] = np.frombuffer(b[: len(b) // 4 * 4], ">u4")
-    flat, at, last = data.reshape(-1), np.arange(n) * width + 2, (np.arange(n) + 1) * width - 1
-    code = data[:, 0] << WORD | data[:, 1]
+    flat, at = data.reshape(-1), np.arange(n) * width + 2
     lanes = Lanes(n)
-    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    base, table = (np.arange(2 * n) << TABLE_BITS).astype(np.uint32), np.zeros(2 * n << TABLE_BITS, np.int32)  # predicted id and trust, 0 to 3
+    # Where the code stands above the interval's lower end: carries need no care here.
+    above, span = data[:, 0].astype(np.uint64) << WORD | data[:, 1], np.full(n, (1 << 64) - 1, np.uint64)
     out = np.zeros((steps, n + GAP), np.uint16)[:, :n]
-    x, twice = np.zeros(n, np.int32), np.zeros(2 * n, np.int32)
+    x, fresh = np.zeros(n, np.int32), np.zeros(2 * n, np.int32)
     place, behind = np.zeros(2 * n, np.uint32), np.zeros(n, np.uint32)
     for first, end in chunks(steps):
-        trust, right = np.empty((end - first, 2 * n), np.int32), np.empty((end - first, 2 * n), bool)
+        used, held = np.empty((end - first, 2 * n), np.int32), []
         classes = lanes.slot_classes()
         for k in range(end - first):
             mixed = x.view(np.uint32) * FIRST
@@ -208,37 +258,53 @@ def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
             np.right_shift(mixed, np.uint32(15), out=place[n:])
             behind = x.view(np.uint32) * SECOND
             place &= MASK
-            place += lanes.base
+            place += base
             at_table = place.astype(np.intp)
-            e = lanes.table.take(at_table)
-            guess, sure = e >> 2, e & 3
-            weight = lanes.weight.take(lanes.quad + sure)
-            one, two = weight[:n], weight[n:]
-            both = one + two
-            span //= (both + np.int32(1 << (SLOT_BITS + 8))).astype(np.uint64)
-            v = ((code - low) // span).astype(np.int32)
-            rest = (v - both) & np.int32((1 << (SLOT_BITS + 8)) - 1)
-            c = classes.take(lanes.slots + (rest >> 8)).astype(np.int32)
-            spot = lanes.classes + c
-            each = lanes.width.take(spot)
-            into = rest - (lanes.upto.take(spot) << 8)
-            inside = (into.view(np.uint32) // each.view(np.uint32)).view(np.int32)
-            x = np.where(v < both, np.where(v < one, guess[:n], guess[n:]), (c << 8) + inside)
-            twice[:n] = twice[n:] = x
-            ok = guess == twice
-            r1, r2 = ok[:n], ok[n:]
-            named = r1 | r2
-            size = np.where(named, one * r1 + two * r2, each)
-            start = np.where(named, one * ~r1, both + rest - into + inside * each)
-            fresh = twice << 2
-            lanes.table[at_table] = fresh | NEXT.take(np.minimum(e ^ fresh, 4), mode="wrap")
-            low += start.astype(np.uint64) * span
+            e = table.take(at_table, mode="wrap")
+            chosen = np.add(lanes.quad, e & 3, out=used[k])
+            weight = lanes.weight.take(chosen, mode="wrap")
+            one = weight[:n]
+            both = one + weight[n:]
+            span //= (both + np.int32(PLAIN)).astype(np.uint64)
+            v = (above // span).astype(np.int32)
+            rest = (v - both) & np.int32(PLAIN - 1)
+            c = classes.take(lanes.slots + (rest >> 8), mode="wrap").astype(np.int32)
+            share = lanes.share.take(lanes.classes + c, mode="wrap")
+            size = share & OWN
+            start = (share >> BEFORE).view(np.int32)
+            start += both
+            inside = (v - start).view(np.uint32) // size
+            c <<= 8
+            x = c + inside.view(np.int32)
+            inside *= size
+            start += inside.view(np.int32)
+            size = size.view(np.int32)
+            named = (v < both).nonzero()[0]
+            m, pair = len(named), np.concatenate([named, named + n])
+            old, w = e.take(pair), weight.take(pair)
+            guess, w1 = old >> 2, w[:m]
+            x[named] = right = np.where(v.take(named) < w1, guess[:m], guess[m:])
+            holds = guess.reshape(2, m) == right
+            w2 = w.reshape(2, m) * holds
+            size[named] = w2[0] + w2[1]
+            start[named] = w1 - w2[0]
+            np.left_shift(x, 2, out=fresh[:n])
+            fresh[n:] = fresh[:n]
+            holds = holds.reshape(-1).nonzero()[0]
+            hit, old = pair.take(holds), old.take(holds)
+            fresh[hit] = old + ((old & 3) < 3)  # more trust, up to 3
+            table[at_table] = fresh
+            held.append(chosen.take(hit))
+            above -= start.astype(np.uint64) * span
             span *= size.astype(np.uint64)
-            go, _ = narrowed(low, span)
-            code[go] = code[go] << WORD | flat[np.minimum(at[go], last[go])]
-            at[go] += 1
-            out[first + k], trust[k], right[k] = x, sure, ok
-        lanes.learn(out[first:end].astype(np.int32), trust, right)
+            go = (span <= LOW_WORD).nonzero()[0]
+            spot = at.take(go)
+            above[go] = above.take(go) << WORD | flat.take(spot, mode="clip")
+            span[go] = span.take(go) << WORD
+            at[go] = spot + 1
+            out[first + k] = x
+        counts = (np.bincount(c, minlength=8 * n) for c in (used.reshape(-1), np.concatenate(held)))
+        lanes.learn(lanes.classes[:, None] + np.ascontiguousarray(out[first:end].T >> 8), *counts)
     return out
 
 
@@ -258,7 +324,7 @@ def pack(ids: np.ndarray) -> bytes:
         whole = np.zeros((n, steps + GAP), np.uint16)[:, :steps]
         for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):  # noqa: B905
             whole[i, : b - a] = ids[a:b]
-        blocks = encode_blocks(np.ascontiguousarray(whole.T))
+        blocks = encode_blocks(whole)
     raw = ids.astype("<u4", copy=False)
     head = b"".join(struct.pack("<IHI", len(b), int(m), zlib.crc32(raw[e - m : e].tobytes())) for b, m, e in zip(blocks, lengths, ends[1:], strict=True))
     return MAGIC + struct.pack("<I", n) + head + b"".join(blocks)
@@ -290,6 +356,17 @@ def unpack(data: bytes) -> np.ndarray:
     return flat
 
 
+class LateMerges:
+    """Special tokens at once; the rest of the merges, which only a pre-token longer than a block needs, when asked for."""
+
+    def __init__(self, spec: bytes):
+        self.spec, self.special = spec, {t["content"]: t["id"] for t in json.loads(spec).get("added_tokens", [])}
+
+    def __getattr__(self, name: str):
+        found = self.__dict__[name] = getattr(merges_of(self.spec), name)
+        return found
+
+
 _library: dict[bytes, Encoder] = {}
 
 
@@ -299,15 +376,15 @@ def library_encoder(spec: bytes) -> Encoder:
         import tokenizers
 
         tk = tokenizers.Tokenizer.from_str(spec.decode())
-        model, alphabet = tk.model, {b: c for c, b in byte_alphabet().items()}
+        tokenize, alphabet, id_of = tk.model.tokenize, {b: c for c, b in byte_alphabet().items()}, attrgetter("id")
 
         def ask(words: list[str]) -> list[list[int]]:
             # UTF-8 has no byte 255, so it parts the words while all are translated at once.
             whole = b"\xff".join(map(str.encode, words)).decode("latin-1").translate(alphabet)
-            return [[t.id for t in model.tokenize(w)] for w in whole.split(alphabet[255])] if words else []
+            return [list(map(id_of, tokenize(w))) for w in whole.split(alphabet[255])] if words else []
 
         _library.clear()
-        _library[spec] = Encoder(merges_of(spec), ask)
+        _library[spec] = Encoder(LateMerges(spec), ask)
     return _library[spec]
 
 
