@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.llm.common import bound_batches
 
 FILES = "path string, content binary"
 PAGES = "array<array<struct<text:string,x:int,y:int,width:int,height:int>>>"
+#: Words that a worker holds before their rows go back to Spark; a row with more of them goes alone.
+HELD_WORDS = 1 << 14
 
 
 def labelled_folders(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -28,8 +31,10 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def recognised(docs: DataFrame, engine: Callable[[bytes, str], list] | None = None) -> DataFrame:
     """Pages of words of each row's (path, content) by an engine (content, path) -> pages; other columns stay.
 
-    An engine's failure stays in the row's ``error``, as does a missing content.
+    An engine's failure stays in the row's ``error``, as does a missing content. A worker's memory is bounded by
+    ``BATCH_BYTES`` of files, ``HELD_WORDS`` words and what a single file needs beyond them, not by rows.
     """
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "content"]
     rows = docs.select(*kept, "content").withColumns({"pages": F.expr(f"CAST(NULL AS {PAGES})"), "error": F.lit(None).cast("string")})
 
@@ -45,9 +50,15 @@ def recognised(docs: DataFrame, engine: Callable[[bytes, str], list] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [one(content, path) for content, path in zip(batch["content"].to_pylist(), batch["path"].to_pylist(), strict=True)]
-            pages = pa.array([p for p, _ in got], batch.schema.field("pages").type)
-            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pages, pa.array([e for _, e in got], pa.string())], [*kept, "pages", "error"])
+            start, got, held = 0, [], 0
+            for i in range(batch.num_rows):
+                got.append(one(batch["content"][i].as_py(), batch["path"][i].as_py()))
+                held += sum(len(words or ()) for words in got[-1][0] or ())
+                if held >= HELD_WORDS or i + 1 == batch.num_rows:
+                    pages = pa.array([p for p, _ in got], batch.schema.field("pages").type)
+                    errors = pa.array([e for _, e in got], pa.string())
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(got)).select(kept).columns, pages, errors], [*kept, "pages", "error"])
+                    start, got, held = i + 1, [], 0
 
     return rows.mapInArrow(run, rows.drop("content").schema)
 
