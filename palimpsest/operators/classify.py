@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
 from palimpsest.functions import text as T
+from palimpsest.llm.common import bound_batches
 
 LEAST_CONFIDENCE = 0.45
 VOCABULARY = 5000
@@ -19,6 +20,7 @@ VOCABULARY = 5000
 
 def train(corpus: DataFrame, text: str = "text", label: str = "label", c: float = 5.0, rounds: int = 200) -> PipelineModel:
     """Term frequencies with smoothed inverse document frequencies, unit length, multinomial logistic regression."""
+    bound_batches(corpus.sparkSession)
     rows = corpus.select(T.classifier_text(F.coalesce(text, F.lit(""))).alias("clean"), F.col(label).cast("string").alias("label")).where("clean <> ''").persist()
     try:
         n = rows.count()
@@ -47,6 +49,7 @@ def classify(docs: DataFrame, model: PipelineModel, text: str = "text", least: f
 
     Labels without a document type count as ``other``; the last of them keeps its score.
     """
+    bound_batches(docs.sparkSession)
     labels = model.stages[4].labels
     regression: LogisticRegressionModel = model.stages[5]
     types = [C.LABEL_TYPES.get(x, "other") for x in labels]
