@@ -1,8 +1,14 @@
 """Python workers hold a bounded part of a table at a time, whatever the number of its rows."""
 
+import tracemalloc
+
+import pandas as pd
 import pyarrow as pa
 import pytest
 
+from palimpsest.functions import text as T
+from palimpsest.operators import classify
+from palimpsest.plans import catalog
 from palimpsest.sources import readers
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -45,3 +51,29 @@ def test_recognition_takes_few_bytes_of_files(unbounded):
     docs = unbounded.createDataFrame([("a", bytearray(b"x"))], "path string, content binary")
     assert readers.recognised(docs, lambda content, path: [None, []]).first().pages == [None, []]
     assert largest_batch(unbounded) < 4 << 20
+
+
+def test_classifier_text_goes_text_by_text():
+    texts = pd.Series(["Wórd, " * 10000] * 100, dtype=object)
+    tracemalloc.start()
+    try:
+        (got,) = T.classifier_text.func(iter([texts]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[99] == " ".join(["word"] * 10000)
+    assert peak < 3 * sum(map(len, texts))
+
+
+def test_classifier_text_takes_few_bytes(unbounded, data):
+    assert catalog.classifier_text(unbounded, data).first().clean_md5
+    assert largest_batch(unbounded) < 4 << 20
+
+
+def test_classifier_takes_few_bytes_of_texts(unbounded):
+    corpus = readers.synthetic_corpus(unbounded, {"invoices": "faktura vat", "contracts": "umowa strony"}, each=4)
+    model = classify.train(corpus, rounds=2)
+    assert largest_batch(unbounded) < 4 << 20
+    unbounded.conf.unset(LIMIT)
+    assert classify.classify(corpus, model).count() == 8
+    assert largest_batch(unbounded) < 4 << 20
